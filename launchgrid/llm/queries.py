@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchgrid.llm import bitslice, bpe, neardup, packing, quality, secrets
+from launchgrid.llm import bitslice, bpe, fingerprint, html, lmscore, neardup, packing, pii, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,24 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_products(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by how much more they are like those labelled good than like all."""
+    good = _read(spark, sf_dir, "labels").filter("quality = 1")
+    return lmscore.cross_entropy_difference(_read(spark, sf_dir, "documents"), good)
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_read(spark, sf_dir, "pages"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_read(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_read(spark, sf_dir, "documents"))
 
@@ -44,6 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_topk": op4_topk,
+    "op5_cross_entropy": op5_cross_entropy,
+    "op6_main_text": op6_main_text,
+    "op7_personal_data": op7_personal_data,
+    "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
 }
