@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchgrid.llm import neardup, packing, quality
+from launchgrid.llm import neardup, packing, pii, quality
 from launchgrid.llm.storage import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,6 +29,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return neardup.deduplicated(docs).select(*COLUMNS)
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets, n_chars counted again."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+
+
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 1024-token sequences."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -37,6 +42,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", keep_quality),
     ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
     ("packing", pack_tokens),
 ]
 
