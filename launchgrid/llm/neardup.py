@@ -8,12 +8,14 @@ for a long text. Signatures are banded; texts that share a band are candidates;
 are confirmed by counting common shingles of the whole sets.
 
 1. Texts of one set form one class: everything after works on classes.
-2. Every class is compared with the least class of each of its bands, and confirmed
-   links are united.
-3. What a band still holds of different components is compared pair by pair, after a
-   sketch of one bit a slot has ruled out pairs far below the threshold. So every pair
-   that shares a band is either confirmed, or already in one component, or ruled out; no
-   group of copies is expanded into its pairs, and none is capped.
+2. In each band, every class is compared with one pivot, another class for each band, and
+   confirmed links are united. Bands that still hold different components do so once more,
+   with other pivots.
+3. What a band still holds of different components is compared within the join: a sketch of
+   one bit a slot rules out pairs far below the threshold, then the whole sets are counted.
+   Only links come out of it. So every pair that shares a band is either confirmed, or in
+   one component already, or ruled out; no group of copies is expanded into its pairs,
+   and none is capped.
 
 With 25 bands of 5 slots a pair at 0.85 is missed with probability 0.556^25 = 4e-7, and
 the sketch rules one out with about 1e-7.
@@ -31,7 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from launchgrid.llm.graph import components
@@ -123,17 +125,37 @@ def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, flat)], names=["id", "sh"])
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, sh) of the asked ids; of rows of one id, the one with the greatest set."""
+    asked = texts.join(ids.hint("shuffle_hash"), texts.id == ids.rep, "left_semi")
+    return written(asked.mapInArrow(_shingle_sets, "id long, sh array<long>").groupBy("id").agg(F.max("sh").alias("sh")), "sets")
+
+
+def _similar(a: str, b: str, threshold: float) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return 100 * common >= round(threshold * 100) * (F.size(a) + F.size(b) - common)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of ``pairs`` (a, b), those whose whole sets are similar enough."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    asked = texts.join(ids.hint("shuffle_hash"), texts.id == ids.rep, "left_semi")
-    # One row per asked id, though equal ids may repeat.
-    sets = written(asked.mapInArrow(_shingle_sets, "id long, sh array<long>").groupBy("id").agg(F.max("sh").alias("sh")), "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), texts)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("sh").alias("shb")), "b").join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sha")), "a")
-    common = F.size(F.array_intersect("sha", "shb"))
-    whole = round(threshold * 100)
-    return written(both.filter(100 * common >= whole * (F.size("sha") + F.size("shb") - common)).select("a", "b"), "links")
+    return written(both.filter(_similar("sha", "shb", threshold)).select("a", "b"), "links")
+
+
+def _pivots(crowd: DataFrame, turn: int) -> DataFrame:
+    """(band, pivot, in_band): one class of each band, by a different order in each."""
+    order = F.xxhash64("band", F.lit(turn))
+    least = crowd.groupBy("band").agg(F.min(F.col("rep").bitwiseXOR(order)).alias("least"), F.count("*").alias("in_band"))
+    return least.select("band", F.col("least").bitwiseXOR(order).alias("pivot"), "in_band")
+
+
+def _mixed(crowd: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """The rows of bands whose members are not all in one component, with their ``part``."""
+    placed = crowd.join(known, crowd.rep == known.v, "left").select(*crowd.columns, F.coalesce("m", "rep").alias("part"))
+    mixed = placed.groupBy("band").agg((F.min("part") < F.max("part")).alias("mixed")).filter("mixed").select("band")
+    return written(placed.join(mixed, "band", "left_semi"), name)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,22 +171,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     joined = same_id.select("id", F.explode("d").alias("digest")).join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a <> b")
 
     banded = classes.select("rep", "n", "s0", "s1", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("in_band")).filter("in_band > 1").select("band", "first")
-    crowd = written(banded.join(crowded, "band"), "crowd")
-    star = crowd.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirm(star, texts, threshold)
-    known = components(links.union(joined))
-
-    # Bands whose members are not all in one component yet.
-    placed = crowd.join(known, crowd.rep == known.v, "left").select("band", "rep", "n", "s0", "s1", F.coalesce("m", "rep").alias("part"))
-    mixed = placed.groupBy("band").agg((F.min("part") < F.max("part")).alias("mixed")).filter("mixed").select("band")
-    rest = written(placed.join(mixed, "band", "left_semi"), "rest")
+    crowd = written(banded.join(_pivots(banded, 0).filter("in_band > 1"), "band"), "crowd")
+    star = crowd.filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+    known = components(_confirm(star, texts, threshold).union(joined))
+
+    crowd = crowd.drop("pivot", "in_band")
+    again = _mixed(crowd, known, "again")
+    pivots = _pivots(again, 1).join(again.select("band", F.col("rep").alias("pivot"), F.col("part").alias("pivot_part")), ["band", "pivot"])
+    apart = again.join(pivots, "band").filter("part <> pivot_part")
+    star = apart.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+    linked = known.select(F.col("v").alias("a"), F.col("m").alias("b"))
+    known = components(linked.union(_confirm(star, texts, threshold)))
+
+    rest = _mixed(crowd, known, "rest")
     x, y = rest.alias("x"), rest.alias("y")
     equal_bits = 128 - F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & (equal_bits >= FEWEST_EQUAL_BITS)
+    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (equal_bits >= FEWEST_EQUAL_BITS)
     near &= (F.col("x.n") >= threshold * 0.99 * F.col("y.n")) & (F.col("y.n") >= threshold * 0.99 * F.col("x.n"))
-    left = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirm(left, texts, threshold)
+    close = written(x.join(y, near, "left_semi"), "close")  # of each pair that is left, both rows
+    sets = _sets_of(close.select("rep").distinct(), texts).withColumnRenamed("id", "rep")
+    full = close.join(sets, "rep")
+    x, y = full.alias("x"), full.alias("y")
+    more = written(x.join(y, near & (F.col("x.rep") < F.col("y.rep")) & _similar("x.sh", "y.sh", threshold)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "more")
     if not more.isEmpty():
         known = components(known.select(F.col("v").alias("a"), F.col("m").alias("b")).union(more))
 
