@@ -73,10 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_topk": """
         WITH rows AS (
-            SELECT vec_id, list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS v
+            SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
         ), pairs AS (
             SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_dot_product(q.v, r.v)::BIGINT AS score
             FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id
