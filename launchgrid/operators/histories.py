@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from launchgrid.functions.text import companies, raw_names
@@ -11,6 +11,11 @@ from launchgrid.schemas import OUTCOMES
 DEFAULT_VOLUME, DEFAULT_POSITIVE = 50.0, 75.0
 
 
+def _two_decimals(tenths: Column, n: Column) -> Column:
+    """The mean of ``n`` values whose tenths sum to ``tenths``; ties are exact, so half to even holds."""
+    return F.bround(10.0 * tenths / n, 0) / 100
+
+
 def named(titles: DataFrame) -> DataFrame:
     """One row per title and canonical publisher: appid, pos, company.
 
@@ -55,7 +60,7 @@ def live_records(tracked: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def _as_record(rows: DataFrame) -> DataFrame:
-    mean = lambda s, n, default: F.coalesce(F.when(F.col(n) > 0, F.bround(F.col(s) / (10.0 * F.col(n)), 2)), F.lit(default))
+    mean = lambda s, n, default: F.coalesce(F.when(F.col(n) > 0, _two_decimals(F.col(s), F.col(n))), F.lit(default))
     return rows.select("appid", F.coalesce("r.n", F.lit(0)).alias("title_count"), mean("r.s_pct", "r.n_pct", DEFAULT_VOLUME).alias("mean_volume_pct"), mean("r.s_pos", "r.n_pos", DEFAULT_POSITIVE).alias("mean_positive_pct"), F.col("r").isNotNull().alias("known"))
 
 
@@ -88,8 +93,8 @@ def publisher_stats(titles: DataFrame, least_titles: int = 2) -> DataFrame:
     by = named(titles).join(titles.select("appid", "cohort_year", "percentile", "positive_pct", "platforms"), "appid")
     out = by.groupBy("company").agg(
         F.count("*").alias("title_count"),
-        F.bround(F.sum(F.bround(F.col("percentile") * 10, 0).cast("bigint")) / (10.0 * F.count("percentile")), 2).alias("mean_volume_pct"),
-        F.bround(F.sum(F.bround(F.col("positive_pct") * 10, 0).cast("bigint")) / (10.0 * F.count("positive_pct")), 2).alias("mean_positive_pct"),
+        _two_decimals(F.sum(F.bround(F.col("percentile") * 10, 0).cast("bigint")), F.count("percentile")).alias("mean_volume_pct"),
+        _two_decimals(F.sum(F.bround(F.col("positive_pct") * 10, 0).cast("bigint")), F.count("positive_pct")).alias("mean_positive_pct"),
         F.bround(F.sum("platforms") / F.count("*").cast("double"), 2).alias("mean_breadth"),
         F.min("cohort_year").alias("first_year"), F.max("cohort_year").alias("last_year"),
         F.count("percentile").alias("_p"), F.count("positive_pct").alias("_s"),

@@ -20,8 +20,8 @@ WIDE = f"""{BASE}, wide AS (
 RECORD = """
 record AS (
   SELECT w.appid, count(h.appid)::BIGINT AS title_count,
-    coalesce(round_even(sum((h.percentile * 10)::BIGINT) / (10.0::DOUBLE * count(h.percentile)), 2), 50.0) AS mean_volume_pct,
-    coalesce(round_even(sum((h.positive_pct * 10)::BIGINT) / (10.0::DOUBLE * count(h.positive_pct)), 2), 75.0) AS mean_positive_pct, count(h.appid) > 0 AS known
+    coalesce(round_even(10.0::DOUBLE * sum((h.percentile * 10)::BIGINT) / count(h.percentile), 0) / 100, 50.0) AS mean_volume_pct,
+    coalesce(round_even(10.0::DOUBLE * sum((h.positive_pct * 10)::BIGINT) / count(h.positive_pct), 0) / 100, 75.0) AS mean_positive_pct, count(h.appid) > 0 AS known
   FROM wide w LEFT JOIN wide h ON h.developer = w.developer AND h.store_date < w.store_date GROUP BY w.appid
 )"""
 
@@ -43,8 +43,8 @@ def publisher_history_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histories.publisher_records(wide(spark, sf_dir))
 
 
-@query(f"""{WIDE} SELECT developer AS company, count(*)::BIGINT AS title_count, round_even(sum((percentile * 10)::BIGINT) / (10.0::DOUBLE * count(percentile)), 2) AS mean_volume_pct,
-  round_even(sum((positive_pct * 10)::BIGINT) / (10.0::DOUBLE * count(positive_pct)), 2) AS mean_positive_pct, round_even(sum(1 + on_mac::INTEGER + on_linux::INTEGER)::DOUBLE / count(*), 2) AS mean_breadth,
+@query(f"""{WIDE} SELECT developer AS company, count(*)::BIGINT AS title_count, round_even(10.0::DOUBLE * sum((percentile * 10)::BIGINT) / count(percentile), 0) / 100 AS mean_volume_pct,
+  round_even(10.0::DOUBLE * sum((positive_pct * 10)::BIGINT) / count(positive_pct), 0) / 100 AS mean_positive_pct, round_even(sum(1 + on_mac::INTEGER + on_linux::INTEGER)::DOUBLE / count(*), 2) AS mean_breadth,
   min(cohort_year)::INTEGER AS first_year, max(cohort_year)::INTEGER AS last_year, (max(cohort_year) - min(cohort_year))::INTEGER AS span_years
 FROM wide GROUP BY developer HAVING count(*) >= 2 AND count(percentile) > 0 AND count(positive_pct) > 0""")
 def publisher_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(k.alias("appid"), F.concat("c_name", F.lit(" LLC")).alias("publisher"), date.alias("release_date"), F.when(k % 4 != 0, (1000 * (1 + k % 5)).cast("int")).alias("price_initial_cents"), F.lit(True).alias("on_windows"), (k % 2 == 0).alias("on_mac"), F.lit(False).alias("on_linux"))
 
 
-@query(f"""{WIDE}, hist AS (SELECT developer, count(*) AS n, round_even(sum((percentile * 10)::BIGINT) / (10.0::DOUBLE * count(percentile)), 2) AS v, round_even(sum((positive_pct * 10)::BIGINT) / (10.0::DOUBLE * count(positive_pct)), 2) AS s FROM wide GROUP BY developer),
+@query(f"""{WIDE}, hist AS (SELECT developer, count(*) AS n, round_even(10.0::DOUBLE * sum((percentile * 10)::BIGINT) / count(percentile), 0) / 100 AS v, round_even(10.0::DOUBLE * sum((positive_pct * 10)::BIGINT) / count(positive_pct), 0) / 100 AS s FROM wide GROUP BY developer),
 live AS (SELECT c_custkey AS appid, c_name, CASE WHEN c_custkey % 3 = 0 THEN make_date((1996 + c_custkey % 8)::INTEGER, (1 + c_custkey % 12)::INTEGER, 1) END AS d, CASE WHEN c_custkey % 4 <> 0 THEN 1000 * (1 + c_custkey % 5) END::INTEGER AS cents, c_custkey % 2 = 0 AS mac FROM customer),
 dated AS (SELECT *, coalesce(year(d), 2001)::INTEGER AS y FROM live),
 recent AS (SELECT d.appid, arg_max(rate, r.cohort_year) AS rate FROM dated d JOIN rates r ON r.cohort_year BETWEEN d.y - 3 AND d.y WHERE rate IS NOT NULL GROUP BY d.appid)
@@ -238,7 +238,7 @@ def ordinal_recombine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLlib's trees per cut, fitted to all labelled titles and applied to titles not out."""
     rows = wide(spark, sf_dir)
-    model = training.OrdinalTrees(trees=10).fit(forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir)))
+    model = training.OrdinalTrees(trees=5).fit(forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir)))
     out = model.transform(live_features(spark, sf_dir))
     confidence = F.when(F.col("imputed") != "", "low").when(F.array_max("probabilities") < 0.55, "medium").otherwise("high")
     return out.select("appid", "predicted", F.array_max("probabilities").alias("probability"), confidence.alias("confidence"), F.lit("model").alias("method"))
