@@ -6,27 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def matched_pairs(treated: DataFrame, controls: DataFrame, width: float = 10.0, rounds: int = 8) -> DataFrame:
+def matched_pairs(treated: DataFrame, controls: DataFrame, widths: tuple[float, ...] = (1.0, 5.0)) -> DataFrame:
     """(appid, control, gap): each treated title with a control near in sentiment and year, one to one.
 
-    Both sides: appid, cohort_year, positive_pct. Candidates are of the same year and in the same or a
-    neighbouring band of sentiment. In each round, pairs that are each other's best are taken;
-    a round takes at least the best pair of every band that has any. Titles without a pair after
-    ``rounds`` rounds are left out. Each round is checkpointed by the caller's size: both sides are
-    curated lists.
+    Both sides: appid, cohort_year, positive_pct. In each round, the titles of a year and band of
+    sentiment are put in order on either side, and those of one place are paired: on a line,
+    that order gives the least sum of gaps. What is left goes to the next, wider round. No
+    candidate pairs are made; titles without a pair after the last round are left out.
     """
-    bands = lambda df, wide: df.withColumn("band", F.explode(F.sequence(F.floor(F.col("positive_pct") / width) - wide, F.floor(F.col("positive_pct") / width) + wide)))
-    c = bands(controls, 0).select("cohort_year", "band", F.col("appid").alias("control"), F.col("positive_pct").alias("other"))
-    near = bands(treated, 1).join(c, ["cohort_year", "band"]).filter("appid <> control")
-    left = near.select("appid", "control", F.bround(F.abs(F.col("positive_pct") - F.col("other")), 1).alias("gap"))
-    left = left.filter(F.col("gap") <= width).cache()
-    taken = None
-    for _ in range(rounds):
-        mine = F.row_number().over(Window.partitionBy("appid").orderBy("gap", "control"))
-        theirs = F.row_number().over(Window.partitionBy("control").orderBy("gap", "appid"))
-        pairs = left.withColumns({"m": mine, "t": theirs}).filter("m = 1 and t = 1").drop("m", "t").cache()
-        if pairs.isEmpty():
-            break
+    left, right, taken = treated.select("appid", "cohort_year", "positive_pct"), controls.select(F.col("appid").alias("control"), "cohort_year", F.col("positive_pct").alias("other")), None
+    for width in widths:
+        placed = lambda df, value, key: df.withColumn("band", F.floor(F.col(value) / width)).withColumn("place", F.row_number().over(Window.partitionBy("cohort_year", "band").orderBy(value, key)))  # noqa: B023, E731
+        pairs = placed(left, "positive_pct", "appid").join(placed(right, "other", "control"), ["cohort_year", "band", "place"])
+        pairs = pairs.select("appid", "control", F.bround(F.abs(F.col("positive_pct") - F.col("other")), 1).alias("gap"))
         taken = pairs if taken is None else taken.unionByName(pairs)
-        left = left.join(pairs.select("appid"), "appid", "left_anti").join(pairs.select("control"), "control", "left_anti").cache()
-    return left.limit(0) if taken is None else taken
+        left, right = left.join(pairs.select("appid"), "appid", "left_anti"), right.join(pairs.select("control"), "control", "left_anti")
+    return taken

@@ -269,7 +269,14 @@ def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.adjusted_rand(p).withColumn("adjusted_rand", F.round("adjusted_rand", 9))
 
 
-@query()
+MATCH = "SELECT *, floor(positive_pct / {w}) AS band, row_number() OVER (PARTITION BY cohort_year, floor(positive_pct / {w}) ORDER BY positive_pct, appid) AS place FROM {t}"
+
+
+@query(f"""{WIDE}, rows AS (SELECT appid, cohort_year, positive_pct, percentile FROM wide WHERE launch_type = 'day_one_steam' AND positive_pct >= 78),
+a1 AS (SELECT appid, cohort_year, positive_pct FROM rows WHERE percentile < 35), b1 AS (SELECT appid, cohort_year, positive_pct FROM rows WHERE percentile >= 35),
+p1 AS (SELECT a.appid, b.appid AS control, round_even(abs(a.positive_pct - b.positive_pct), 1) AS gap FROM ({MATCH.format(w=1.0, t='a1')}) a JOIN ({MATCH.format(w=1.0, t='b1')}) b USING (cohort_year, band, place)),
+a2 AS (SELECT * FROM a1 WHERE appid NOT IN (SELECT appid FROM p1)), b2 AS (SELECT * FROM b1 WHERE appid NOT IN (SELECT control FROM p1))
+SELECT * FROM p1 UNION ALL SELECT a.appid, b.appid, round_even(abs(a.positive_pct - b.positive_pct), 1) FROM ({MATCH.format(w=5.0, t='a2')}) a JOIN ({MATCH.format(w=5.0, t='b2')}) b USING (cohort_year, band, place)""")
 def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles that fell short, each with a passing title of its year and sentiment."""
     rows = wide(spark, sf_dir).filter((F.col("launch_type") == DAY_ONE) & F.col("positive_pct").isNotNull())

@@ -227,9 +227,8 @@ def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1, ST4: days that the watermark has closed, of polls taken once each."""
     out = _folder(spark, "rollup")
     stream = _stream(spark, sf_dir, _polls_of)
-    once = stream.withWatermark("captured_at", "1 day").dropDuplicatesWithinWatermark(["appid", "captured_at"])
-    w = F.window("captured_at", "1 day")
-    days = once.groupBy(w, "appid").agg(F.count("*").alias("polls"), F.max("players").alias("peak_players"), F.sum("players").alias("sum_players")).select("appid", F.to_date("window.start").alias("day"), "polls", "peak_players", "sum_players")
+    stream = stream.withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    days = streams.daily_rollup(streams.distinct_polls(stream), late=None)
     streams.run_to_table(days, f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows")
 

@@ -93,10 +93,14 @@ def lifecycle(polls: DataFrame) -> DataFrame:
     return slim.groupBy("appid").transformWithStateInPandas(_Lifecycle(), outputStructType="appid long, state string, predicted string", outputMode="Update", timeMode="None")
 
 
-def daily_rollup(polls: DataFrame, late: str = "1 day") -> DataFrame:
-    """Closed days only: (appid, day, polls, peak_players, sum_players)."""
+def daily_rollup(polls: DataFrame, late: str | None = "1 day") -> DataFrame:
+    """Closed days only: (appid, day, polls, peak_players, sum_players).
+
+    ``late`` is None for a stream that has its watermark already.
+    """
     w = F.window("captured_at", "1 day")
-    out = polls.withWatermark("captured_at", late).groupBy(w, "appid").agg(F.count("*").alias("polls"), F.max("players").alias("peak_players"), F.sum("players").alias("sum_players"))
+    marked = polls.withWatermark("captured_at", late) if late else polls
+    out = marked.groupBy(w, "appid").agg(F.count("*").alias("polls"), F.max("players").alias("peak_players"), F.sum("players").alias("sum_players"))
     return out.select("appid", F.to_date("window.start").alias("day"), "polls", "peak_players", "sum_players")
 
 
