@@ -61,3 +61,11 @@ def selection(requested: DataFrame, available: DataFrame, key: str = "appid") ->
     """(key, present) of each requested key."""
     there = available.select(key).distinct().withColumn("present", F.lit(True))
     return requested.select(key).distinct().join(there, key, "left").select(key, F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def capped(rows: DataFrame, most: int = 60) -> DataFrame:
+    """``rows`` if there are at most ``most``; else raises. For validation sets that people pay for."""
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows to validate")
+    return rows

@@ -238,10 +238,10 @@ def ordinal_recombine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLlib's trees per cut, fitted to all labelled titles and applied to titles not out."""
     rows = wide(spark, sf_dir)
-    model = training.OrdinalTrees(trees=5).fit(forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir)))
-    out = model.transform(live_features(spark, sf_dir))
-    confidence = F.when(F.col("imputed") != "", "low").when(F.array_max("probabilities") < 0.55, "medium").otherwise("high")
-    return out.select("appid", "predicted", F.array_max("probabilities").alias("probability"), confidence.alias("confidence"), F.lit("model").alias("method"))
+    matrix = forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir))
+    model = training.OrdinalTrees(trees=5).fit(matrix)
+    live = live_features(spark, sf_dir).withColumn("imputed", F.split("imputed", ","))
+    return training.served(live, developer_forecast(spark, sf_dir), model, matrix.count())
 
 
 @query()

@@ -6,8 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from launchgrid.operators import catalog, cohort, forecast, histories, matching, quality, snapshots, tiers, windows
-from launchgrid.schemas import CURATED_COLUMNS
+from launchgrid.operators import catalog, cohort, forecast, histories, matching, quality, snapshots, tiers, training, windows
+from launchgrid.schemas import CURATED_COLUMNS, FEATURES, OUTCOMES
 from launchgrid.sources import curated, landed
 
 D = datetime.date
@@ -148,3 +148,41 @@ def test_curated_files(spark, tmp_path):
 def test_duplicate_keys(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert quality.duplicate_keys(df, "k").count() == 2
+
+
+def test_sanity_cap(spark):
+    assert quality.capped(spark.range(60)).count() == 60
+    with pytest.raises(ValueError):
+        quality.capped(spark.range(61))
+
+
+def matrix(spark, noise):
+    """Titles whose first feature is their rank, give or take."""
+    rows = [(i, *[float(i % 4) + noise * ((i * 7919) % 13 / 13 - 0.5), *([0.0] * (len(FEATURES) - 1))], OUTCOMES[i % 4]) for i in range(80)]
+    return spark.createDataFrame(rows, ["appid", *FEATURES, "outcome"])
+
+
+def test_cross_validation_tells_signal_from_noise(spark):
+    good = matrix(spark, 0.5)
+    noise = good.withColumn(FEATURES[0], F.col("appid") * 7919 % 101 / 101.0)
+    got = []
+    for m in (good, noise):
+        assigned = forecast.folds(m.select("appid", "outcome"), repeats=2)
+        found = training.cross_validated(m, assigned, forecast.fold_constants(assigned), trees=30)
+        got.append(forecast.gate(forecast.held_out_scores(found)).first())
+    assert got[0].passes and got[0].accuracy > 0.9 and got[0].distance < 0.2
+    assert not got[1].passes
+
+
+def test_models_are_served_and_kept_only_when_earned(spark, tmp_path):
+    m = matrix(spark, 0.2)
+    model = training.OrdinalTrees(trees=2).fit(m)
+    rule = m.select("appid", F.lit("flop").alias("predicted"), F.lit(0.4).alias("probability"))
+    live = m.drop("outcome").withColumn("imputed", F.array().cast("array<string>"))
+    by_model, by_rule = training.served(live, rule, model, 80).collect(), training.served(live, rule, None, 80).collect()
+    assert {r.method for r in by_model} == {"model"} and sum(r.predicted == r.appid % 4 for r in by_model) >= 60
+    assert {(r.method, r.predicted, r.confidence) for r in by_rule} == {("rule", 0, "low")}
+    facts = spark.createDataFrame([(80,)], "n_rows int")
+    row = spark.createDataFrame([(False,), (True,)], "passes boolean").collect()
+    assert not training.write_if_earned(model, row[0], facts, str(tmp_path / "m")) and not (tmp_path / "m").exists()
+    assert training.write_if_earned(model, row[1], facts, str(tmp_path / "m")) and (tmp_path / "m" / "facts").exists()
