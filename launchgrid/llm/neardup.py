@@ -17,8 +17,8 @@ are confirmed by counting common shingles of the whole sets.
    one component already, or ruled out; no group of copies is expanded into its pairs,
    and none is capped.
 
-With 25 bands of 5 slots a pair at 0.85 is missed with probability 0.556^25 = 4e-7, and
-the sketch rules one out with about 1e-7.
+Bands have 5 slots and are as many as it takes to miss a pair at the threshold with probability
+below MISSED: 25 for 0.85, 37 for 0.8. The sketch rules one out with about 1e-8.
 
 Defined results: a null, empty or blank text has no shingles and is its own component; a
 text of one to four words has one shingle, all its words; equal ids count as one document
@@ -29,7 +29,8 @@ kept. Other columns are never read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,10 @@ from launchgrid.llm.graph import components
 from launchgrid.llm.storage import bounded_batches, written
 from launchgrid.llm.textkit import mix, shingles, slices, utf8, words
 
-SLOTS, BANDS, ROWS = 128, 25, 5
+SLOTS, ROWS = 128, 5
 SHINGLE = 5
-FEWEST_EQUAL_BITS = 101  # of 128; at 0.85 the mean is 118.4 and the deviation 3.0
+MISSED = 5e-7  # the share of pairs at the threshold that may share no band
+DEVIATIONS = 5.8  # how far below its mean, at the threshold, a sketch's agreement may be
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, 257, dtype=np.uint64) * _STEP
 _EMPTY = np.uint64(2**64 - 1)
@@ -88,32 +90,46 @@ def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return sig
 
 
+def bands_for(threshold: float) -> int:
+    """How many bands of ROWS slots a threshold needs."""
+    return math.ceil(math.log(MISSED) / math.log(1 - threshold**ROWS))
+
+
+def fewest_equal_bits(threshold: float) -> int:
+    """Of the 128 bits of two sketches, how many must agree for a pair to be looked at."""
+    p = (1 + threshold) / 2
+    return math.floor(128 * p - DEVIATIONS * math.sqrt(128 * p * (1 - p)))
+
+
 def _sets(part: pa.RecordBatch) -> list[np.ndarray]:
     raw, offs = utf8(part.column("text"))
     hashes, _, _, counts = words(raw, offs)
     return list(shingles(hashes, counts, SHINGLE))
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = _sets(part)
-            sig = superminhash(sets)
-            bands = np.empty((len(sets), BANDS), np.uint64)
-            for b in range(BANDS):
-                h = np.full(len(sets), b + 1, np.uint64)
-                for s in range(ROWS):
-                    h = mix(h * np.uint64(0xD6E8FEB86659FD93) + sig[:, b * ROWS + s])
-                bands[:, b] = h
-            bits = np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8), axis=1)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            flat = pa.array(bands.ravel().view(np.int64))
-            ends = pa.array(np.arange(0, flat.__len__() + 1, BANDS), pa.int32())
-            sketch = pa.array(bits.view(">i8").astype(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, flat), sketch.take(pa.array(np.arange(0, len(sketch), 2))), sketch.take(pa.array(np.arange(1, len(sketch), 2)))],
-                names=["id", "n", "digest", "bands", "s0", "s1"],
-            )
+def _sign(n_bands: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = _sets(part)
+                sig = superminhash(sets, max(SLOTS, n_bands * ROWS))
+                bands = np.empty((len(sets), n_bands), np.uint64)
+                for b in range(n_bands):
+                    h = np.full(len(sets), b + 1, np.uint64)
+                    for s in range(ROWS):
+                        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + sig[:, b * ROWS + s])
+                    bands[:, b] = h
+                bits = np.packbits((mix(sig[:, :128]) & np.uint64(1)).astype(np.uint8), axis=1)
+                sketch = bits.view(">i8").astype(np.int64)
+                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                flat = pa.array(bands.ravel().view(np.int64))
+                ends = pa.array(np.arange(0, len(flat) + 1, n_bands), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(ends, flat), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
+                    names=["id", "n", "digest", "bands", "s0", "s1"],
+                )
+
+    return run
 
 
 def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     """One row per input row: id, n_shingles, component_id (least id reachable), kept."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(_sign, "id long, n long, digest binary, bands array<long>, s0 long, s1 long"), "signatures")
+    signed = written(texts.mapInArrow(_sign(bands_for(threshold)), "id long, n long, digest binary, bands array<long>, s0 long, s1 long"), "signatures")
     real = signed.filter("n > 0 and id is not null")
     # Equal sets have equal everything but the id, so any row's signature will do.
     classes = written(real.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "classes")
@@ -186,7 +202,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     rest = _mixed(crowd, known, "rest")
     x, y = rest.alias("x"), rest.alias("y")
     equal_bits = 128 - F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (equal_bits >= FEWEST_EQUAL_BITS)
+    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (equal_bits >= fewest_equal_bits(threshold))
     near &= (F.col("x.n") >= threshold * 0.99 * F.col("y.n")) & (F.col("y.n") >= threshold * 0.99 * F.col("x.n"))
     close = written(x.join(y, near, "left_semi"), "close")  # of each pair that is left, both rows
     sets = _sets_of(close.select("rep").distinct(), texts).withColumnRenamed("id", "rep")

@@ -39,10 +39,10 @@ def brute(texts, threshold=85):
     return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
 
-def check(df):
+def check(df, threshold=0.85):
     texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
-    component, size = brute(texts)
-    rows = neardup.near_duplicates(df).collect()
+    component, size = brute(texts, round(100 * threshold))
+    rows = neardup.near_duplicates(df, threshold).collect()
     assert {r.doc_id for r in rows} == set(texts)
     for r in rows:
         assert (r.component_id, r.n_shingles, r.kept) == (component[r.doc_id], size[r.doc_id], component[r.doc_id] == r.doc_id)
@@ -66,7 +66,9 @@ def test_chains_and_near_misses(spark):
             n += 1
             if r.random() < 0.5:
                 base = source
-    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    for threshold in (0.85, 0.8):
+        check(df, threshold)
 
 
 def test_odd_documents(spark):
@@ -83,6 +85,11 @@ def test_equal_ids_are_one_document(spark):
     assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()} == {(5, 1), (1, 1), (9, 1)}
 
 
+def test_bands_follow_the_threshold():
+    assert (neardup.bands_for(0.85), neardup.bands_for(0.8)) == (25, 37)
+    assert (neardup.fewest_equal_bits(0.85), neardup.fewest_equal_bits(0.8)) == (101, 95)
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
@@ -123,7 +130,7 @@ def test_pipeline(spark):
     want = {r.doc_id for r in quality.assess(docs, labels).filter("predicted = 1").collect()}
     assert good.columns == list(p.COLUMNS) and {r.doc_id for r in good.collect()} == want
     single = p.drop_near_duplicates(spark, good, SF).cache()
-    component, _ = brute({r.doc_id: r.text for r in good.collect()})
+    component, _ = brute({r.doc_id: r.text for r in good.collect()}, 80)
     assert {r.doc_id for r in single.collect()} == {i for i, c in component.items() if i == c}
     clean = p.redact_personal_data(spark, single, SF).cache()
     assert clean.columns == list(p.COLUMNS) and clean.count() == single.count()
