@@ -15,6 +15,7 @@ from launchgrid.llm import neardup, packing, pii, quality
 from launchgrid.llm.storage import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SIMILAR = 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies."""
-    return neardup.deduplicated(docs).select(*COLUMNS)
+    """The document of least id of each group of near copies (0.8 of their five-word runs)."""
+    return neardup.deduplicated(docs, SIMILAR).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
