@@ -116,6 +116,17 @@ def test_cross_entropy_difference_by_hand(spark):
     assert got[2].score is None and got[3].n_words == 0
 
 
+def test_every_word_and_pair_is_counted_by_itself(spark, monkeypatch):
+    # More distinct words and pairs than any fixed table of 2^17 and 2^20 classes keeps apart.
+    monkeypatch.setattr(lmscore, "CHUNK_WORDS", 100_000)
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, 999), i -> concat('w', id * 1000 + i)), ' ')").alias("text"))
+    got = lmscore.cross_entropy_difference(df, df.filter("doc_id < 0")).collect()
+    n, v = 400_000, 400_000
+    alone = 1.5 / (n + 0.5 * v)
+    want = -(math.log(alone) + 999 * math.log((1 + 20 * alone) / 21)) / 1000
+    assert len(got) == 400 and all(r.background_loss == pytest.approx(want, rel=1e-9) for r in got)
+
+
 def test_cross_entropy_odd_documents(spark):
     good = spark.createDataFrame([(0,)], "doc_id long")
     assert lmscore.cross_entropy_difference(odd_documents(spark), good).count() == 11
