@@ -68,21 +68,31 @@ def overlap_records(targets: DataFrame, labelled: DataFrame) -> DataFrame:
     """(appid, history, flop, underperform, success, breakout): labelled titles that share a raw
     developer or publisher name with each target, itself excluded, with no date cutoff.
 
-    Counts per name are made first; only targets with several names meet single titles, to
-    count a title that shares two names once.
+    Counts per set of names are made first, never pairs of titles: by inclusion and exclusion, a
+    target adds up the counts of titles that hold each of its names, takes off those that hold
+    both of a pair of its names, and so on. A title has few names, so few sets.
     """
-    names = lambda df: df.select("appid", F.explode(raw_names(F.col("developer"), F.col("publisher"))).alias("name"))
-    asked, had = names(targets), names(labelled).join(labelled.select("appid", "outcome"), "appid")
-    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
-    single = asked.groupBy("appid").agg(F.count("*").alias("k"), F.max("name").alias("name"))
-    per_name = had.groupBy("name").agg(F.count("*").alias("history"), *counts)
-    own = labelled.select("appid", F.col("outcome").alias("own"))
-    one = single.filter("k = 1").join(per_name, "name").join(own, "appid", "left")
-    one = one.select("appid", *((F.col(c) - F.when(F.col("own").isNotNull() if c == "history" else F.col("own") == c, 1).otherwise(0)).alias(c) for c in ("history", *OUTCOMES)))
-    many = single.filter("k > 1").select("appid").join(asked, "appid").join(had.withColumnRenamed("appid", "other"), "name").filter("appid <> other").select("appid", "other", "outcome").distinct()
-    many = many.groupBy("appid").agg(F.count("*").alias("history"), *counts)
-    found = one.unionByName(many)
-    return targets.select("appid").join(found, "appid", "left").select("appid", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("history", *OUTCOMES)))
+    sets = _name_sets(F.array_distinct(raw_names(F.col("developer"), F.col("publisher"))))
+    outcomes = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
+    cols = ("history", *OUTCOMES)
+    # Titles of the same names ask the same, so each distinct list of names is counted once.
+    asked = targets.select("appid", F.array_sort(F.array_distinct(raw_names(F.col("developer"), F.col("publisher")))).alias("names"))
+    per_set = labelled.select(F.explode(sets).alias("names"), "outcome").groupBy("names").agg(F.count("*").alias("history"), *outcomes)
+    lists = asked.filter(F.size("names") > 0).select("names").distinct()
+    parts = lists.select(F.col("names").alias("list"), F.explode(_name_sets(F.col("names"))).alias("names")).join(per_set, "names")
+    sign = F.when(F.size("names") % 2 == 1, 1).otherwise(-1)
+    summed = parts.groupBy("list").agg(*(F.sum(sign * F.col(c)).alias(c) for c in cols))
+    found = asked.join(summed, asked["names"] == summed["list"], "left").select("appid", "names", *cols)
+    own = labelled.select("appid", F.col("outcome").alias("own"), F.lit(True).alias("counted"))
+    itself = lambda c: F.when((F.size("names") > 0) & (F.col("counted") if c == "history" else F.col("own") == c), 1).otherwise(0)
+    return found.join(own, "appid", "left").select("appid", *((F.coalesce(c, F.lit(0)) - itself(c)).cast("bigint").alias(c) for c in cols))
+
+
+def _name_sets(names: Column) -> Column:
+    """Every non-empty subset of an array of distinct names, each in order."""
+    none = F.array().cast("array<array<string>>")
+    grown = lambda sets, n: F.concat(sets, F.array(F.array(n)), F.transform(sets, lambda s: F.concat(s, F.array(n))))
+    return F.aggregate(F.array_sort(names), none, grown)
 
 
 def publisher_stats(titles: DataFrame, least_titles: int = 2) -> DataFrame:

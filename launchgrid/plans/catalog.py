@@ -203,11 +203,11 @@ def original_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = logical.read(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    i = logical.read(spark, sf_dir, "lineitem")
     return i.select(F.col("l_orderkey").alias("appid"), F.to_date("l_shipdate").alias("when"), F.when(F.col("l_partkey") % 2 == 0, 11).otherwise(9).alias("precision"), (F.col("l_returnflag") == "A").alias("won"), F.concat(F.lit("show "), (F.col("l_suppkey") % 7).cast("string")).alias("award_show"))
 
 
-NOMINATED = f"""{T}, n AS (SELECT l_orderkey AS appid, l_shipdate::DATE AS d, l_partkey % 2 = 0 AS exact, l_returnflag = 'A' AS won, 'show ' || (l_suppkey % 7) AS award_show FROM lineitem WHERE l_linenumber <= 2),
+NOMINATED = f"""{T}, n AS (SELECT l_orderkey AS appid, l_shipdate::DATE AS d, l_partkey % 2 = 0 AS exact, l_returnflag = 'A' AS won, 'show ' || (l_suppkey % 7) AS award_show FROM lineitem),
 early AS (SELECT n.*, t.original_date FROM n JOIN titles t USING (appid) WHERE CASE WHEN exact THEN d < original_date ELSE year(d) < year(original_date) END)"""
 
 

@@ -51,6 +51,24 @@ def test_shuffled_input_gives_the_same(spark):
     assert a == b
 
 
+def test_overlaps_of_titles_with_several_names(spark):
+    rows = [(1, "A", "A\nPort", "flop"), (2, "A", "B\nPort", "success"), (3, "C", "Port", None), (4, "B", "B", "flop"), (5, "D", "D", "flop"), (6, "A", "B\nPort", "breakout")]
+    t = spark.createDataFrame(rows, "appid int, developer string, publisher string, outcome string")
+    found = histories.overlap_records(t, t.filter("outcome is not null"))
+    got = {r.appid: (r.history, r.flop, r.underperform, r.success, r.breakout) for r in found.collect()}
+    assert got == {1: (2, 0, 0, 1, 1), 2: (3, 2, 0, 0, 1), 3: (3, 1, 0, 1, 1), 4: (2, 0, 0, 1, 1), 5: (0,) * 5, 6: (3, 2, 0, 1, 0)}
+
+
+def test_overlap_query_has_every_title_and_nominations_every_line(spark):
+    from conftest import SF
+
+    from launchgrid.plans import catalog as plans
+    from launchgrid.plans.registry import QUERIES
+
+    assert QUERIES["company_overlap_history"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert plans.nominations(spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
 def test_launch_start(spark):
     day = D(2024, 9, 9)
     rel = spark.createDataFrame([(i, day) for i in range(1, 5)], "appid int, store_date date")
