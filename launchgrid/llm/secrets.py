@@ -61,13 +61,14 @@ def _scan_blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """New ledger rows (blob, rule_version, findings) for what ``ledger`` lacks.
 
-    ``versions`` has path (long), blob and text. The first path of each unseen blob stands
-    for it; texts move once, dealt by path, so no blob's copies meet in one task.
+    ``versions`` has path (long, or null), blob and text. The first path of each unseen blob
+    stands for it, null where it has no other; texts move once, dealt by path and blob, so no
+    blob's copies meet in one task, and neither do the rows without a path.
     """
     first = versions.groupBy("blob").agg(F.min("path").alias("first"))
     if ledger is not None:
         first = first.join(ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
-    asked = versions.join(first.select("first", F.col("blob").alias("of")).hint("shuffle_hash"), (F.col("path") == F.col("first")) & (F.col("blob") == F.col("of")), "left_semi")
+    asked = versions.join(first.select("first", F.col("blob").alias("of")).hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("of")), "left_semi")
     found = asked.select("blob", "text").mapInArrow(_scan_blobs, "blob string, findings array<struct<kind: string, start: long, end: long>>")
     return found.dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "findings")
 
@@ -75,7 +76,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rule_versi
 def secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings per row, the whole ledger after this run).
 
-    Findings: id, blob, findings (null where the id is null and the blob new).
+    Findings: id, blob, findings; rows with a null id have theirs as all others.
     """
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))

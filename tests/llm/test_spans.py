@@ -118,6 +118,13 @@ def test_secrets_odd_documents(spark):
     assert secrets.digests(no_documents(spark)).count() == 0
 
 
+def test_secrets_in_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "token=abcdefgh1"), (None, "token=abcdefgh1"), (None, "clean"), (1, "secret: 12345678"), (None, "secret: 12345678")], "doc_id long, text string")
+    found, ledger = secrets.secrets(docs)
+    assert ledger.count() == 3
+    assert sorted((r.doc_id or 0, len(r.findings)) for r in found.collect()) == [(0, 0), (0, 1), (0, 1), (0, 1), (1, 1)]
+
+
 def test_the_ledger_scans_a_blob_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "token=abcdefgh1"), (2, "token=abcdefgh1"), (3, "clean")], "doc_id long, text string")
     found, ledger = secrets.secrets(docs)
