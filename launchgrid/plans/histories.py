@@ -245,9 +245,9 @@ def gbt_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X4 with A20-A22 on the titles of 1997, as a curated corpus is some hundred titles."""
+    """X4 with A20-A22 on all labelled titles."""
     rows = wide(spark, sf_dir)
-    m = forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir)).filter("cohort_year = 1997")
+    m = forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir))
     assigned = forecast.folds(m.select("appid", "outcome"), repeats=2)
     found = training.cross_validated(m, assigned, forecast.fold_constants(assigned), trees=20)
     return forecast.gate(forecast.held_out_scores(found))

@@ -192,6 +192,24 @@ def test_cross_validation_tells_signal_from_noise(spark):
     assert not got[1].passes
 
 
+def test_no_fold_of_a_cross_validation_sits_in_one_task(spark):
+    m = matrix(spark, 0.5)
+    assigned = forecast.folds(m.select("appid", "outcome"), repeats=1)
+    found = training.cross_validated(m, assigned, forecast.fold_constants(assigned), trees=1)
+    assert found.count() == 80 and "InPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_cross_validation_takes_titles_of_all_years(spark, monkeypatch):
+    from conftest import SF
+
+    from launchgrid.plans import histories as plans
+
+    seen = []
+    monkeypatch.setattr(plans.training, "cross_validated", lambda m, assigned, constants, trees: seen.append(m) or plans.guesses(spark, SF))
+    plans.cross_validation(spark, SF)
+    assert seen[0].select("cohort_year").distinct().count() > 1
+
+
 def test_models_are_served_and_kept_only_when_earned(spark, tmp_path):
     m = matrix(spark, 0.2)
     model = training.OrdinalTrees(trees=2).fit(m)
