@@ -3,12 +3,16 @@
 Base spans come from four fixed patterns. Three high-recall generators propose more spans, which
 may overlap those and each other: runs of digits with separators, numbers in the shape of a
 local phone number, and names joined to a host by an at sign in any spelling. Boosted trees see each candidate's format (digits, separators,
-groups, length, check sum) and context (the characters around it), and learn which candidates
-coincide with base spans. The threshold is calibrated on held-out candidates: the least score
-above which PRECISION of them are right. Candidates that reach it and touch no base span are
-added.
+groups, length, check sum) and context (the characters around it), and learn from what is known:
+candidates that touch base spans are right, and those whose form fails (numbers that are neither
+cards nor phones, parts of longer numbers, addresses whose host has no dot) are wrong. What lacks
+only the sign of a base span (a phone number its +, an address its @) is not known, teaches
+nothing and is what may be added: the features do not see those signs. The threshold is
+calibrated on held-out known candidates: the least score above which PRECISION of them are
+right. Unknown candidates that reach it are added.
 
-The trees are fitted to at most MOST_CANDIDATES candidates, those of least hash.
+The trees are fitted to at most MOST_CANDIDATES known candidates, those of least hash; the
+calibration counts all known candidates held out.
 
 Offsets are code points. A pattern's matches and the text between them are taken apart by the
 same expression, so positions are running sums of lengths.
@@ -45,6 +49,10 @@ NUMBER = r"\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 LOCAL = r"\(?(?<![0-9])[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 AT = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)*+"
 
+# What lacks only a base span's sign: a plain address's form, and phone numbers without +.
+ADDRESS = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"
+UNSIGNED = rf"^(?:(?:00)?[0-9]{{1,3}}[\x20.-]{{1,2}})?{LOCAL}$|^00[1-9][0-9]*[\x20().-]"
+
 MOST_CANDIDATES = 20_000
 PRECISION = 0.98
 TREES, DEPTH = 16, 3
@@ -130,8 +138,21 @@ def candidates(text: Column) -> Column:
     return F.concat(of("number", NUMBER), of("local", LOCAL), at)
 
 
+def plain(m: Column) -> Column:
+    """An address with its at and dot signs in their usual spelling."""
+    return F.regexp_replace(F.regexp_replace(m, r"\x20?(?:@|\(at\)|\[at\])\x20?", "@"), r"\x20?(?:\.|\(dot\)|\[dot\])\x20?", ".")
+
+
+def _unknown(m: Column, gen: Column, before: Column, after: Column) -> Column:
+    """Whether a candidate that touches no base span may be personal data all the same."""
+    number = m.rlike(UNSIGNED) & F.char_length(digits(m)).between(9, 15)
+    local = ~before.rlike(r"[0-9]{2}[\x20.-]?$") & ~after.rlike("^[.-]?[0-9]")
+    return F.when(gen == "at", plain(m).rlike(ADDRESS)).when(gen == "local", local).otherwise(number)
+
+
 def _features(m: Column, gen: Column, before: Column, after: Column) -> dict[str, Column]:
     """Numbers about a candidate's format and context."""
+    m = F.when(gen == "at", plain(m)).otherwise(m)
     count = lambda chars: (F.char_length(m) - F.char_length(F.regexp_replace(m, chars, ""))).cast("double")
     flag = lambda c: c.cast("double")
     number = digits(m)
@@ -154,11 +175,12 @@ def _features(m: Column, gen: Column, before: Column, after: Column) -> dict[str
 
 
 def _exploded(found: DataFrame) -> DataFrame:
-    """One row per candidate, with its features and whether it touches a base span."""
+    """One row per candidate, with its features and label: 1 right, 0 wrong, null unknown."""
     rows = found.filter(F.size("candidates") > 0).select("id", "same", "base", F.explode("candidates").alias("x"))
     touches = F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"]))
+    label = F.when(touches, 1.0).when(~_unknown(F.col("x.m"), F.col("x.gen"), F.col("x.before"), F.col("x.after")), 0.0)
     cols = {k: c for k, c in _features(F.col("x.m"), F.col("x.gen"), F.col("x.before"), F.col("x.after")).items()}
-    return rows.select("id", "same", F.col("x.gen").alias("gen"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), touches.cast("double").alias("label"), *(c.alias(k) for k, c in cols.items()))
+    return rows.select("id", "same", F.col("x.gen").alias("gen"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), label.alias("label"), *(c.alias(k) for k, c in cols.items()))
 
 
 def _names() -> list[str]:
@@ -169,13 +191,14 @@ def _names() -> list[str]:
 def fit(rows: DataFrame, most: int = MOST_CANDIDATES, precision: float = PRECISION):
     """(assembler, trees, threshold) from candidate rows, or None without both kinds."""
     key = F.xxhash64("id", "same", "start", "end", "gen")
-    sample = written(rows.withColumn("key", key).orderBy("key", "start", "end").limit(most), "candidates")
-    seen = sample.filter("key % 3 <> 0").agg(F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") == 0).alias("zeros")).first()
+    known = rows.filter("label is not null").withColumn("key", key)
+    sample = written(known.filter("key % 3 <> 0").orderBy("key", "start", "end").limit(most), "candidates")
+    seen = sample.agg(F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") == 0).alias("zeros")).first()
     if not seen.ones or not seen.zeros:
         return None
     join = VectorAssembler(inputCols=_names(), outputCol="features")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, featureSubsetStrategy="onethird").fit(join.transform(sample.filter("key % 3 <> 0")))
-    tested = _scored(sample.filter("key % 3 = 0"), join, trees).groupBy(F.floor(F.col("p") * 50).alias("bin")).agg(F.sum("label").alias("right"), F.count("*").alias("all")).orderBy(F.desc("bin")).collect()
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, featureSubsetStrategy="onethird").fit(join.transform(sample))
+    tested = _scored(known.filter("key % 3 = 0"), join, trees).groupBy(F.floor(F.col("p") * 50).alias("bin")).agg(F.sum("label").alias("right"), F.count("*").alias("all")).orderBy(F.desc("bin")).collect()
     threshold, right, every = None, 0.0, 0
     for t in tested:
         right, every = right + t.right, every + t["all"]
@@ -195,9 +218,9 @@ def _added(found: DataFrame) -> DataFrame:
     if model is None:
         return found.limit(0).select("id", "same", F.array().cast(f"array<{SPAN}>").alias("more"))
     join, trees, threshold = model
-    picked = _scored(rows.filter("label = 0").dropDuplicates(["id", "same", "start", "end", "gen"]), join, trees).filter(F.col("p") >= threshold)
-    kind = F.when(F.col("gen") == "at", "email").when(F.col("check_sum") == 1, "card").when(F.col("digits") >= 12, "card").otherwise("phone")
-    span = F.struct("start", F.when(kind == "email", 0).when(kind == "card", 2).otherwise(3).alias("rank"), "end", kind.alias("kind"))
+    picked = _scored(rows.filter("label is null").dropDuplicates(["id", "same", "start", "end", "gen"]), join, trees).filter(F.col("p") >= threshold)
+    kind = F.when(F.col("gen") == "at", "email").otherwise("phone")
+    span = F.struct("start", F.when(kind == "email", 0).otherwise(3).alias("rank"), "end", kind.alias("kind"))
     return picked.groupBy("id", "same").agg(F.collect_set(span).alias("more"))
 
 

@@ -83,6 +83,14 @@ def test_likely_candidates_are_added(spark):
     assert got[1000].startswith("phone:") or got[1001].startswith("email:")
 
 
+def test_many_local_numbers_and_spelt_addresses_are_added(spark):
+    rows = [(i, f"call +1 ({200 + i}) 555-{1000 + i} or write u{i}@mail.example.com today") for i in range(200)] + [(200 + i, f"order no. {10**11 + i * 37} of batch {7_000_000 + i} on 2024-01-{10 + i % 20}, me (at) home") for i in range(200)]
+    rows += [(400 + i, f"call ({200 + i}) 555-{2000 + i} or write v{i} (at) mail (dot) example today") for i in range(100)]
+    got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == ",".join(plain_spans(t)) for i, t in rows if i < 400)
+    assert all(got[i].startswith("phone:5:") and ",email:" in got[i] for i in range(400, 500))
+
+
 def secret_spans(text):
     found = []
     for i, (k, p) in enumerate(SECRET.items()):
