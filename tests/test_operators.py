@@ -60,7 +60,7 @@ def test_overlaps_of_titles_with_several_names(spark):
 
 
 def test_overlap_query_has_every_title_and_nominations_every_line(spark):
-    from conftest import SF
+    from compare import SF
 
     from launchgrid.plans import catalog as plans
     from launchgrid.plans.registry import QUERIES
@@ -200,7 +200,7 @@ def test_no_fold_of_a_cross_validation_sits_in_one_task(spark):
 
 
 def test_cross_validation_takes_titles_of_all_years(spark, monkeypatch):
-    from conftest import SF
+    from compare import SF
 
     from launchgrid.plans import histories as plans
 

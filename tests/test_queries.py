@@ -2,7 +2,7 @@
 
 import compare
 import pytest
-from conftest import SF
+from compare import SF
 
 import __spark_entry__  # noqa: F401  registers the queries
 from launchgrid.plans.registry import ORACLES, QUERIES
