@@ -3,22 +3,29 @@
 The ledger is keyed by content: a version's blob id is the SHA-256 of its bytes. A run
 scans the blobs that the ledger has not seen under the current rule version, once
 however many paths hold them, adds what it found (also "nothing") to the ledger, and joins
-findings back to all paths.
+findings back to all paths. The rule version is a digest of the rules themselves.
+
+A ledger lives in a folder that outlasts the run: the one the session names in
+``launchgrid.secrets.ledger``, or given to ``ledger_findings``. Runs append to it; two runs at once may
+both scan a blob, which changes no result. Without one, a run starts from nothing.
 
 Base kinds are those of the fixed patterns below. The added kinds: ``pem`` (private key
 blocks), ``jwt`` (three base64url parts), ``url`` (a password in a connection address).
 
 Defined results: a null text is the empty blob, with no findings; repeated rows are paths of
-one blob; an empty table gives no rows. Other columns are never read.
+one blob; rows with a null id have their findings as all others; an empty table gives no rows.
+Other columns are never read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from launchgrid.llm.storage import bounded_batches, written
@@ -34,7 +41,9 @@ PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}")
 URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:([^\s:/@]{3,200})@")
 KINDS = ("assign", "access", "hex", "pem", "jwt", "url")
-RULE_VERSION = "1"
+RULE_VERSION = hashlib.sha256(repr([KINDS, LEAST, *((p.pattern, p.flags) for p in (ASSIGN, ACCESS, HEX, PEM, JWT, URL))]).encode()).hexdigest()[:16]
+LEDGER = "launchgrid.secrets.ledger"
+LEDGER_ROWS = "blob string, rule_version string, findings array<struct<kind: string, start: long, end: long>>"
 
 _HINT = re.compile(r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|-----BEGIN|eyJ|://")
 
@@ -58,10 +67,16 @@ def _scan_blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(found, kind)], names=["blob", "findings"])
 
 
+def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("path"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
+
+
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """New ledger rows (blob, rule_version, findings) for what ``ledger`` lacks.
 
-    ``versions`` has path (long, or null), blob and text. The first path of each unseen blob
+    ``versions`` has path (or null), blob and text. The first path of each unseen blob
     stands for it, null where it has no other; texts move once, dealt by path and blob, so no
     blob's copies meet in one task, and neither do the rows without a path.
     """
@@ -73,20 +88,40 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rule_versi
     return found.dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "findings")
 
 
-def secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings per row, the whole ledger after this run).
+def _joined(versions: DataFrame, whole: DataFrame, rule_version: str, id_col: str) -> DataFrame:
+    """Each path's findings under a rule version, from the whole ledger."""
+    hits = whole.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).dropDuplicates(["blob"]).select("blob", "findings")
+    out = versions.select("path", "blob").join(hits, "blob", "left")
+    none = F.array().cast("array<struct<kind: string, start: long, end: long>>")
+    return out.select(F.col("path").alias(id_col), "blob", F.coalesce("findings", none).alias("findings"))
 
-    Findings: id, blob, findings; rows with a null id have theirs as all others.
-    """
-    bounded_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    versions = docs.select(F.col(id_col).cast("long").alias("path"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
+
+def secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(findings per row: id, blob, findings; the whole ledger after this run)."""
+    versions = _versions(docs, id_col, text_col)
     new = written(scan_unseen(versions, ledger, rule_version), "ledger")
     whole = new if ledger is None else new.unionByName(ledger.select("blob", "rule_version", "findings"))
-    hits = whole.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
-    out = versions.select("path", "blob").join(hits, "blob", "left")
-    none = F.array().cast("array<struct<kind: string, start: long, end: long>>")
-    return out.select(F.col("path").alias(id_col), "blob", F.coalesce("findings", none).alias("findings")), whole
+    return _joined(versions, whole, rule_version, id_col), whole
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``, or None where no run has written one yet."""
+    try:
+        return spark.read.schema(LEDGER_ROWS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def ledger_findings(docs: DataFrame, path: str, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(findings per row, how many blobs this run had to scan), with the ledger kept at ``path``."""
+    spark = docs.sparkSession
+    versions = _versions(docs, id_col, text_col)
+    new = written(scan_unseen(versions, read_ledger(spark, path), rule_version), "unseen")
+    scanned = new.count()
+    new.write.mode("append").parquet(path)
+    return _joined(versions, read_ledger(spark, path), rule_version, id_col), scanned
 
 
 def span_text(spans: F.Column) -> F.Column:
@@ -96,7 +131,8 @@ def span_text(spans: F.Column) -> F.Column:
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, the digest of base spans, and all spans."""
-    found, _ = secrets(docs)
+    path = docs.sparkSession.conf.get(LEDGER, None)
+    found = ledger_findings(docs, path)[0] if path else secrets(docs)[0]
     base = F.filter("findings", lambda s: s["kind"].isin(*LEAST))
 
     def count(kind: str) -> F.Column:

@@ -121,11 +121,38 @@ def test_secrets(spark):
 
 
 def test_secrets_odd_documents(spark):
-    rows = secrets.digests(odd_documents(spark)).collect()
-    assert len(rows) == 11
+    odd = odd_documents(spark)
+    rows = secrets.digests(odd).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd.collect())
+    check_secrets([r for r in rows if r.doc_id is not None], {r.doc_id: r.text for r in odd.collect()})
     assert secrets.digests(no_documents(spark)).count() == 0
 
 
+def test_base_digests_of_rows_without_an_id(spark):
+    texts = ["token=abcdefgh1 and " + "0123456789abcdef" * 2, "passwd: longenough1", "clean"]
+    docs = spark.createDataFrame([(None, t) for t in texts] * 2, "doc_id long, text string")
+    want = sorted(hashlib.sha256(",".join(secret_spans(t)).encode()).hexdigest() for t in texts * 2)
+    assert sorted(r.base_sha256 for r in secrets.digests(docs).collect()) == want
+
+
+def test_a_second_run_over_the_kept_ledger_scans_nothing(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, "token=abcdefgh1"), (9_000, "token=abcdefgh1")], "doc_id long, text string"))
+    path = str(tmp_path / "ledger")
+    rows = lambda df: sorted(str((r.doc_id, r.blob, r.findings)) for r in df.collect())
+    first, scanned = secrets.ledger_findings(docs, path)
+    assert scanned == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    again, none = secrets.ledger_findings(docs, path)
+    assert none == 0 and rows(again) == rows(first) == rows(secrets.secrets(docs)[0])
+    more, few = secrets.ledger_findings(docs.union(spark.createDataFrame([(9_001, "secret: 12345678")], "doc_id long, text string")), path)
+    assert few == 1 and [len(r.findings) for r in more.filter("doc_id = 9001").collect()] == [1]
+    assert secrets.ledger_findings(docs, path, "other rules")[1] == scanned
+    spark.conf.set(secrets.LEDGER, path)
+    try:
+        assert sorted(map(tuple, secrets.digests(docs).collect()), key=str) == sorted(map(tuple, secrets.digests(docs).collect()), key=str)
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+
+
 def test_secrets_in_rows_without_an_id(spark):
     docs = spark.createDataFrame([(None, "token=abcdefgh1"), (None, "token=abcdefgh1"), (None, "clean"), (1, "secret: 12345678"), (None, "secret: 12345678")], "doc_id long, text string")
     found, ledger = secrets.secrets(docs)
