@@ -63,6 +63,7 @@ def test_overlap_query_has_every_title_and_nominations_every_line(spark):
     from compare import SF
 
     from launchgrid.plans import catalog as plans
+    from launchgrid.plans import histories as _registers  # noqa: F401
     from launchgrid.plans.registry import QUERIES
 
     assert QUERIES["company_overlap_history"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
