@@ -110,3 +110,53 @@ def test_sum_of_squares_prefers_a_perfect_fit():
     assert p.count[5] == 1 and p.count.sum() == 1
     p.close()
     assert [d[2] for d in p.take()] == [4, 1]
+
+
+MARKED = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\n<|endoftext|", "  <|endoftext|>  x", "none here"]
+
+
+@pytest.mark.parametrize("added", [False, True])
+def test_added_tokens_as_the_library_has_them(added):
+    t = Tokenizer.from_file(JSON)  # as it is, it makes them tokens of their own
+    t.encode_special_tokens = not added
+    own = packing.load_tokenizer(JSON, added)
+    for text in MARKED:
+        assert own(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_marked_documents_are_packed_either_way(spark):
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    for added in (False, True):
+        t = Tokenizer.from_file(JSON)
+        t.encode_special_tokens = not added
+        check_packing(packing.pack(docs, JSON, added_tokens=added).collect(), dict(enumerate(MARKED)), lambda x, t=t: t.encode(x, add_special_tokens=False).ids)
+
+
+def test_placement_fills_most_windows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for parts, least in ((32, 0.6), (1, 0.95)):
+        pieces = packing.pack(docs.repartition(parts), JSON).collect()
+        met = [p for p in pieces if p.length < 1024]
+        assert sum(p.length for p in met if p.placed) > least * sum(p.length for p in met)
+
+
+@settings(max_examples=60, deadline=None)
+@given(sizes=st.lists(st.integers(1, 40), max_size=60), window=st.sampled_from([8, 10, 16]), levels=st.integers(1, 16))
+def test_any_pieces_fill_windows_without_gaps(sizes, window, levels):
+    p = packing.SumOfSquares(window, 5, levels)
+    for doc, n in enumerate(sizes):
+        p.add(doc, np.arange(n, dtype="<u4"))
+        assert p.count.tolist() == [len(x) for x in p.open] and all(w[0] < window for x in p.open for w in x)
+    p.close()
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for doc, start, length, crc, total, seq, at, _ in p.take():
+        assert crc == zlib.crc32(np.arange(start, start + length, dtype="<u4").tobytes()) and total == sizes[doc]
+        by_doc[doc].append((start, length))
+        by_seq[seq].append((at, length))
+    for spans, end in [*((v, sizes[d]) for d, v in by_doc.items()), *((v, None) for v in by_seq.values())]:
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+        assert at == (end or at) and (end or at == window or at & (at - 1) == 0)
+    assert len(by_doc) == len(sizes)
