@@ -212,7 +212,17 @@ def test_the_ledger_scans_a_blob_once(spark, monkeypatch):
 
 def piece_set(text):
     white = " \t\x0b\f\r"
-    return set(re.findall(rf"(?:[^{white}\n]+[{white}]*){{1,16}}", text))
+    out = set()
+    for line in text.split("\n"):
+        piece = []
+        for m in re.finditer(rf"([^{white}]+)[{white}]*", line):
+            piece.append(m[0])
+            if m[1][-1] in fingerprint.ENDS or len(piece) == fingerprint.PIECE_WORDS:
+                out.add("".join(piece).rstrip(" "))
+                piece = []
+        if piece:
+            out.add("".join(piece).rstrip(" "))
+    return out
 
 
 def check_fingerprints(rows, texts):
@@ -242,22 +252,44 @@ def test_fingerprints(spark):
 
 def test_next_across_ranges(spark):
     df = spark.createDataFrame([(i * i, str(i)) for i in range(200)], "k long, t string").repartition(7)
-    got = {r.k: r.next_t for r in fingerprint.with_next(df, "k", ["t"], rows_per_range=9).collect()}
-    assert got == {i * i: str((i + 1) % 200) for i in range(200)}
+    for outer in (fingerprint.OUTER, 4, 1):
+        got = {r.k: r.next_t for r in fingerprint.with_next(df, "k", ["t"], rows_per_range=9, most_outer=outer).collect()}
+        assert got == {i * i: str((i + 1) % 200) for i in range(200)}
 
 
 def test_fingerprints_odd_documents(spark):
     odd = odd_documents(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
     check_fingerprints(fingerprint.fingerprints(odd).collect(), [(r.doc_id, r.text) for r in odd.orderBy("doc_id").collect()])
-    assert fingerprint.fingerprints(odd_documents(spark)).count() == 11
+    rows = fingerprint.fingerprints(odd_documents(spark)).collect()
+    assert len(rows) == 11
+    (alone,) = (r for r in rows if r.doc_id is None)
+    text = next(r.text for r in odd_documents(spark).collect() if r.doc_id is None)
+    half = len(text) // 2
+    assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256((text[: len(text) - half] + text[:half]).encode()).hexdigest()
+    check_fingerprints([r for r in rows if r.doc_id is not None], [(r.doc_id, r.text) for r in odd.orderBy("doc_id").collect()])
     assert fingerprint.fingerprints(no_documents(spark)).count() == 0
     one = fingerprint.fingerprints(odd.filter("doc_id = 0")).first()
     assert one.near_next == 1.0
 
 
-def test_peeling_in_growing_tables(spark):
-    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.xxhash64(i)).alias("a"), F.transform(F.sequence(F.lit(21), F.lit(70)), lambda i: F.xxhash64(i)).alias("b"))
-    small = fingerprint.peeled(fingerprint.subtract(fingerprint.table(F.col("a")), fingerprint.table(F.col("b"))))
-    big = fingerprint.peeled(fingerprint.table(F.col("a"), 6, F.col("b")), 6)
-    assert df.select(small, big, fingerprint.difference(F.col("a"), F.col("b"))).first()[0:3] == (None, 50, 50) or df.select(big).first()[0] in (50, None)
-    assert df.select(fingerprint.difference(F.col("a"), F.col("b"))).first()[0] == 50
+def test_the_differing_digests_are_recovered(spark):
+    hashes = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.xxhash64(i))
+    df = spark.range(1).select(hashes(1, 40).alias("a"), hashes(21, 70).alias("b"), hashes(1, 3000).alias("long"), hashes(2, 3001).alias("next"), hashes(5, 41).alias("c"), hashes(3, 38).alias("d"))
+    for x, y in (("a", "b"), ("long", "next"), ("a", "a"), ("c", "d")):
+        for tables in ((), (fingerprint.table(F.col(x)), fingerprint.table(F.col(y)))):
+            r = df.select(x, y, fingerprint.recovered(fingerprint.difference(F.col(x), F.col(y), *tables)).alias("r")).first()
+            assert sorted(r.r.first) == sorted(set(r[0]) - set(r[1])) and sorted(r.r.second) == sorted(set(r[1]) - set(r[0]))
+            assert len(r.r.first) == len(set(r.r.first))
+
+
+def test_small_tables_peel_and_full_ones_do_not(spark):
+    keys = lambda n, k: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.xxhash64(i + F.lit(k)))
+    peels = lambda n, bits: [spark.range(1).select(F.size(fingerprint.peeled(fingerprint.table(keys(n, k), bits), bits))).first()[0] for k in range(0, 160, 40)]
+    assert sum(x == 3 for x in peels(3, 3)) >= 3 and set(peels(3, 6)) == {3}
+    assert set(peels(60, 3)) == {None} and sum(x == 40 for x in peels(40, 6)) >= 3
+
+
+def test_an_inserted_word_changes_few_pieces():
+    words = [f"w{i}{'abcdefghijklmnopqrstuvwxyz'[i * 7 % 26]}" for i in range(300)]
+    a, b = piece_set(" ".join(words)), piece_set(" ".join(words[:100] + ["new"] + words[100:]))
+    assert len(a) > 20 and len(a ^ b) <= 4
