@@ -1,6 +1,7 @@
 """Learnt operators: held-out accuracy, exact sums, and brute-force versions."""
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ def test_quality_odd_documents(spark):
     rows = quality.assess(odd_documents(spark), labels).collect()
     assert len(rows) == 11 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     assert quality.assess(no_documents(spark), labels).count() == 0
+    assert quality.assess(odd_documents(spark).union(odd_documents(spark)).union(odd_documents(spark)), labels).filter("score is null").count() == 0
     none = quality.assess(odd_documents(spark), labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
 
@@ -67,7 +69,7 @@ def test_top_products(spark, monkeypatch):
     top = lambda: sorted(map(tuple, bitslice.top_products(rows, F.col("vec_id") % 50 == 0).collect()))
     assert top() == want
     monkeypatch.setattr(bitslice, "BLOCK", 70)
-    monkeypatch.setattr(bitslice, "CHUNK", 3)
+    monkeypatch.setattr(bitslice, "ROUND_BYTES", 8 * 65 * 3)
     assert top() == want
 
 
@@ -139,12 +141,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</scri
 
 
 def test_blocks():
-    got = [(p[-1][0], t) for p, t, _ in html.blocks(PAGE)]
+    got = [(p.tag, t) for p, t, _ in html.blocks(PAGE)]
     assert got == [("li", "Home"), ("li", "News"), ("div", "Buy now, it is cheap."), ("h1", "The title & more"), ("p", "First line goes on."), ("p", "Second é line."), ("footer", "© site, all rights.")]
 
 
 def test_gradients_by_difference():
-    pages = [html.Vectors(html.blocks(PAGE)), html.Vectors(html.blocks(PAGE)[:3])]
+    pages = html.read([PAGE, PAGE[: PAGE.index("<article>")]])[1]
     labels = [html.silver(html.blocks(PAGE)).astype(float), np.zeros(3)]
     m = html.Labeller()
 
@@ -181,14 +183,63 @@ def test_main_text(spark):
 def test_main_text_under_other_tags(spark):
     pages = spark.read.parquet(f"{BIG}/pages.parquet")
     m = html.train(pages)
-    texts = [r.html for r in pages.filter("page_id between 1000 and 1100").collect()]
-    read = [html.blocks(t) for t in texts]
-    other = [t for p in read for _, t, _ in p if len(t) > 40]
+    read = [p for p, _, _ in html.sample(pages.filter("page_id between 1000 and 1100"))]
+    other = [b for p in read for b in p if b.facts[0] > 40]
     made = [html._made(p, html.silver(p), other, np.random.default_rng(i)) for i, p in enumerate(read)]
-    found = m.label([html.Vectors(p) for p, _ in made])
+    found = m.label([html.Vectors.made(p) for p, _ in made])
     assert np.mean([(a == b).mean() for a, (_, b) in zip(found, made, strict=True)]) > 0.98
 
 
+FIRST, SECOND = "The river rose in the night, and by morning the lower road was gone.", "Nobody in the village had seen it that high since the old mill burned."
+LINKS = "<ul><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>About us</a></ul>"
+BY_HAND = [  # a page, and the text that a reader would call its article
+    (f"<html><head><title>x</title><body><nav>{LINKS}</nav><article><h1>High water</h1><p>{FIRST}<p>{SECOND}</article><footer>All rights reserved.</footer>", ["High water", FIRST, SECOND]),
+    (f"<nav>{LINKS}</nav><main><p>{FIRST}</p><div class=ad>Buy two, get one.</div><p>{SECOND}</p></main><section class='reader comments'><p>I was there too, it was worse.</p></section>", [FIRST, SECOND]),
+    (f"<header>The Daily</header><article><p>{FIRST}<!-- <p>never</p> --></p><script>var a = '<p>no</p>'</script><p>{SECOND}</p><aside>Related: the mill</aside></article>", [FIRST, SECOND]),
+    (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold. {FIRST}</p><p>{SECOND} &lt;&eacute;&#x263a;&gt;</p></article><div class=comments><div class=comment><p>First!</p></div></div>", [f"Let x=2 hold. {FIRST}", f"{SECOND} <é☺>"]),
+    (f"<body><div class=cookie-banner>We use cookies.</div>{'<div>' * 3000}<article><p>{FIRST}<p>{SECOND}</article>", [FIRST, SECOND]),
+    (f"<article><ul><li>{FIRST}<li>{SECOND}</ul></article><form><input><button>Send</button></form><footer>Contact</footer>", [FIRST, SECOND]),
+]
+
+
+def test_main_text_of_pages_read_by_hand(spark):
+    m = html.train(spark.read.parquet(f"{BIG}/pages.parquet"))
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(BY_HAND)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.main_text(df, m).collect()} == {i: "\n".join(want) for i, (_, want) in enumerate(BY_HAND)}
+
+
+def test_every_word_counts(spark):
+    words = [f"w{i}" for i in range(500)]
+    _, (a, b) = html.read([f"<p>{' '.join(words)}", f"<p>{' '.join(words[:250] + ['other'] + words[251:])}"])
+    assert len(a.word_ids) == 500 and (a.word_ids != b.word_ids).sum() == 1
+    names = [f"name{i:c}x" for i in range(97, 117)]
+    (path, _, _), = html.blocks(f"<div class='{' '.join(names)}'>t</div>")
+    assert all(path.mask >> html._hash("." + n, html.PATHS) & 1 for n in names)
+
+
+@pytest.mark.parametrize("hostile", ["<b>" * 50_000 + "x" + "</i>" * 50_000, "<div>t" * 15_000, "<p>" + "<b>" * 20_000 + "<hr>" * 20_000, "<table>" + "<tr><td>x" * 15_000, "<div class=a>" + "<li>x<span>" * 15_000, "<" * 300_000, "&" * 300_000, "<a " * 100_000, "<p>x</p>" + "<!--" * 100_000, "<![CDATA[>" * 50_000, "<p>word " * 30_000])
+def test_reading_is_linear(hostile):
+    began = time.process_time()
+    html.Labeller().label(html.read([hostile])[1])
+    assert time.process_time() - began < 30
+
+
+def test_main_text_of_a_very_long_page(spark):
+    lines = [f"{FIRST} {'and so on ' * 60}{i}" for i in range(16_000)]
+    page = f"<nav>{LINKS}</nav><article>{''.join(f'<p>{x}' for x in lines)}</article><footer>All rights reserved.</footer>"
+    assert len(page) > 10_000_000
+    m = html.train(spark.read.parquet(f"{BIG}/pages.parquet"))
+    found, vectors = html.read([page])
+    kept = [t for (_, t, _), keep in zip(found[0], m.label(vectors)[0], strict=True) if keep]
+    assert kept == lines
+
+
+def test_long_pages_are_learnt_from(spark):
+    page = "<article>" + "".join(f"<p>{FIRST} {i}" for i in range(2000)) + "</article>"
+    (run, at, of), = html.sample(spark.createDataFrame([(page,), (page,), (None,), ("",)], "html string"))
+    assert len(run) == html.RUN and of == 2000 and 0 <= at <= 2000 - html.RUN and html.silver(run).all()
+
+
 def test_main_text_odd_pages(spark):
     rows = [(0, "u", None), (1, None, ""), (2, "u", "no tags at all"), (3, "u", "<p><p></div></b>" * 50), (3, "u", "<script>x"), (4, "u", PAGE), (None, "u", "<ul>" * 3000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("id", F.lit(1))
