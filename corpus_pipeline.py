@@ -2,7 +2,12 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a table
 that is written as Parquet and read again as the next stage's docs. All but the last return
-the columns of documents.
+the columns of documents; other columns go.
+
+Defined results: an empty table stays empty. A null or empty text is scored like any other;
+what has no words is nobody's near copy; redaction leaves a null text null; packing makes it the
+end id alone. Repeated rows of an id are kept or dropped together. A row whose id is null is
+judged by its text, is nobody's near copy and stays, redacted and packed like the others.
 """
 
 from __future__ import annotations

@@ -7,19 +7,22 @@ slices, each shifted by the digits of the query's component, made with bitmap ar
 most significant slice of the sum downward; rows that tie at the boundary are taken by the
 smaller id. The scores of the rows selected are read back from the slices, exactly.
 
-Queries are dealt into chunks, and every chunk meets every block: a stated query set against
-all rows, in blocks. A block's best k per query are merged by rank.
+A stated query set meets all rows, in blocks: the index stays where it is written, and queries
+come to it in rounds of at most ROUND_BYTES, which are broadcast. Where blocks are fewer than
+the cluster's cores, a block's queries are shared among several tasks. A block's best k per query
+are merged by rank.
 
 Defined results: rows whose id or vector is null, or whose vector holds a null or non-finite
 component, take no part. Shorter vectors count as padded with zeros. Rows of one id count
-as one row, with the greatest of their vectors. A component beyond +-2^24 raises. An empty
+as one row, with the greatest of their vectors. Ids are whole numbers. A component beyond +-2^24 raises. An empty
 table gives no rows. Other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from launchgrid.llm.storage import written
 
-BLOCK, CHUNK, TOP = 1 << 15, 128, 5
+BLOCK, TOP = 1 << 15, 5
+ROUND_BYTES = 1 << 25
 
 
 def slices_of(values: np.ndarray, digits: int) -> np.ndarray:
@@ -117,7 +121,9 @@ def top_products(vectors: DataFrame, is_query: F.Column, k: int = TOP, id_col: s
     if max(-low, high) > 1 << 24:
         raise ValueError("a quantised component is beyond 2^24")
     digits = max(1, (high - low).bit_length())
-    blocks, chunks = max(1, -(-size.n // BLOCK)), max(1, -(-size.q // CHUNK))
+    blocks = max(1, -(-size.n // BLOCK))
+    rounds = max(1, -(-size.q // max(1, ROUND_BYTES // (8 * (width + 1)))))
+    shares = max(1, min(8, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
 
     def padded(v: pd.Series) -> np.ndarray:
         out = np.zeros((len(v), width), np.int64)
@@ -130,32 +136,40 @@ def top_products(vectors: DataFrame, is_query: F.Column, k: int = TOP, id_col: s
         s = slices_of(padded(pdf.v) - low, digits)
         return pd.DataFrame({"block": pdf.block.iloc[:1], "ids": [pdf.id.to_numpy("<i8").tobytes()], "slices": [s.tobytes()]})
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pd.DataFrame({"chunk": pdf.chunk.iloc[:1], "ids": [pdf.id.to_numpy("<i8").tobytes()], "queries": [padded(pdf.v).astype("<i8").tobytes()]})
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                ids, asks = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.query_ids, "<i8")
-                slices = np.frombuffer(r.slices, np.uint64).reshape(width, digits, -1)
-                every = np.zeros(slices.shape[2] * 8, np.uint8)
-                every[: -(-len(ids) // 8)] = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
-                found = []
-                for q, vector in zip(asks, np.frombuffer(r.queries, "<i8").reshape(len(asks), width), strict=True):
-                    among = every.copy()
-                    own = np.searchsorted(ids, q)
-                    if own < len(ids) and ids[own] == q:
-                        among[own // 8] &= np.uint8(255 - (1 << own % 8))
-                    best = select_top(add_up(slices, vector), among.view(np.uint64), k)
-                    found.append((np.full(len(best), q), ids[best], (_values(slices, best) + low) @ vector))
-                if found:
-                    yield pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
+    def search(asked) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            every_id, every_vector = asked.value
+            for batch in batches:
+                for r in batch.itertuples():
+                    ids = np.frombuffer(r.ids, "<i8")
+                    slices = np.frombuffer(r.slices, np.uint64).reshape(width, digits, -1)
+                    every = np.zeros(slices.shape[2] * 8, np.uint8)
+                    every[: -(-len(ids) // 8)] = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
+                    found = []
+                    for q, vector in zip(every_id[r.share :: shares], every_vector[r.share :: shares], strict=True):
+                        among = every.copy()
+                        own = np.searchsorted(ids, q)
+                        if own < len(ids) and ids[own] == q:
+                            among[own // 8] &= np.uint8(255 - (1 << own % 8))
+                        best = select_top(add_up(slices, vector), among.view(np.uint64), k)
+                        found.append((np.full(len(best), q), ids[best], (_values(slices, best) + low) @ vector))
+                    if found:
+                        yield pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+        return run
+
+    def in_round(turn: int) -> DataFrame:
+        asks = rows.filter("asks").filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rounds)) == turn).select("id", "v").toPandas()
+        asked = spark.sparkContext.broadcast((asks.id.to_numpy("<i8"), padded(asks.v)))
+        found = made.mapInPandas(search(asked), "query_id long, id long, score long")
+        return found if rounds == 1 else written(found, "found")
+
+    spark = vectors.sparkSession
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    made = rows.select(block.alias("block"), "id", "v").groupBy("block").applyInPandas(index, "block long, ids binary, slices binary")
-    asked = rows.filter("asks").select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).alias("chunk"), "id", "v").groupBy("chunk").applyInPandas(gather, "chunk long, ids binary, queries binary")
-    meets = asked.select(F.col("ids").alias("query_ids"), "queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
-    found = meets.join(written(made, "slices"), "block").repartition("block", F.xxhash64("query_ids")).mapInPandas(search, "query_id long, id long, score long")
+    made = written(rows.select(block.alias("block"), "id", "v").groupBy("block").applyInPandas(index, "block long, ids binary, slices binary"), "slices")
+    made = made.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    if shares > 1:
+        made = made.repartition(blocks * shares, "block", "share")
+    found = reduce(DataFrame.unionByName, map(in_round, range(rounds)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

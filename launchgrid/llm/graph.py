@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from launchgrid.llm.storage import written
 
 UNITE_AT = 500_000
+LEAST_HUB, HUBS = 100, 100_000
 
 
 def _unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,26 +48,37 @@ def _unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield forest(held)
 
 
+def _with_least(rows: DataFrame, key: str, value: str, hub: int) -> DataFrame:
+    """``rows`` with m, the least of a row's key and all values of that key.
+
+    A key of ``hub`` rows or more would send them all to one task: such keys are at most
+    HUBS, so their least values are broadcast and their rows stay where they are.
+    """
+    least = written(rows.groupBy(key).agg(F.least(key, F.min(value)).alias("m"), F.count("*").alias("n")), "least")
+    known = rows.join(F.broadcast(least.filter(F.col("n") >= hub).select(key, "m")), key, "left")
+    return known.filter("m is not null").unionByName(known.filter("m is null").drop("m").join(least.filter(F.col("n") < hub).select(key, "m"), key))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(v, m) for every node v of ``edges`` (a, b: long, not null) but the smallest of each
-    component: m is that smallest node. No edges: no rows.
+    """(v, m) for every node v of ``edges`` (a, b: long) but the smallest of each component: m is
+    that smallest node. An edge with a null end links nothing. No edges: no rows.
 
     Each round is a large-star and a small-star step (Kiveris et al., 2014): a node's larger
     neighbours move to its least neighbour, then its smaller ones do; the rounds end when
     every edge is (node, least of its component). Rounds grow with the logarithm of the
     longest chain. Each is written, so a lost executor costs one round at most.
     """
-    now = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(_unite, "v long, m long"), "edges")
-    seen = None
+    ends = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    now = written(ends.mapInArrow(_unite, "v long, m long"), "edges")
+    size, seen = now.count(), None
     for _ in range(most_rounds):
+        hub = max(LEAST_HUB, -(-2 * size // HUBS))
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).union(now.select(F.col("m"), F.col("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("w")).alias("m"))
-        large = both.filter("w > u").join(least, "u").select(F.col("w").alias("v"), "m").distinct()
-        least = large.groupBy("v").agg(F.min("m").alias("m"))
-        small = large.withColumnRenamed("m", "w").join(least, "v").select(F.when(F.col("w") == F.col("m"), F.col("v")).otherwise(F.col("w")).alias("v"), "m").distinct()
-        now = written(small, "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m") % 1_000_003), F.bit_xor(F.xxhash64("m", "v"))).first()
+        large = written(_with_least(both, "u", "w", hub).filter("w > u").select(F.col("w").alias("v"), "m").distinct(), "edges")
+        small = _with_least(large.withColumnRenamed("m", "w"), "v", "w", hub)
+        now = written(small.select(F.when(F.col("w") == F.col("m"), F.col("v")).otherwise(F.col("w")).alias("v"), "m").distinct(), "edges")
+        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "m") % 1_000_003), F.bit_xor(F.xxhash64("m", "v"))).first()
         if mark == seen:
             return now.groupBy("v").agg(F.min("m").alias("m"))
-        seen = mark
+        seen, size = mark, mark.n
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -13,6 +13,7 @@ are confirmed by counting common shingles of the whole sets.
    with other pivots.
 3. What a band still holds of different components is compared within the join: a sketch of
    one bit a slot rules out pairs far below the threshold, then the whole sets are counted.
+   A band of more than GRID classes is a grid of such joins, each of some GRID rows by as many.
    Only links come out of it. So every pair that shares a band is either confirmed, or in
    one component already, or ruled out; no group of copies is expanded into its pairs,
    and none is capped.
@@ -23,7 +24,7 @@ below MISSED: 25 for 0.85, 37 for 0.8. The sketch rules one out with about 1e-8.
 Defined results: a null, empty or blank text has no shingles and is its own component; a
 text of one to four words has one shingle, all its words; equal ids count as one document
 of which every row is returned; rows with a null id are returned with a null component and
-kept. Other columns are never read.
+kept. Ids are whole numbers. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ SLOTS, ROWS = 128, 5
 SHINGLE = 5
 MISSED = 5e-7  # the share of pairs at the threshold that may share no band
 DEVIATIONS = 5.8  # how far below its mean, at the threshold, a sketch's agreement may be
+GRID = 512  # classes of a band that one join compares with as many
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, 257, dtype=np.uint64) * _STEP
 _EMPTY = np.uint64(2**64 - 1)
@@ -174,6 +176,16 @@ def _mixed(crowd: DataFrame, known: DataFrame, name: str) -> DataFrame:
     return written(placed.join(mixed, "band", "left_semi"), name)
 
 
+def _grid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` twice, as x and y, with a ``cell``: any two rows of one band meet in just one cell, and
+    no cell has many more than GRID rows of either side."""
+    size = rows.groupBy("band").agg(F.ceil(F.count("*") / F.lit(float(GRID))).alias("side"))
+    own = rows.join(size, "band").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("side")))
+    across = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("side") - 1)).alias("across")
+    place = lambda row, col: own.select(*rows.columns, "at", across).select(*rows.columns, F.xxhash64("band", row, col).alias("cell"))
+    return place("at", "across").alias("x"), place("across", "at").alias("y")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id reachable), kept."""
     bounded_batches(docs.sparkSession)
@@ -199,15 +211,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     linked = known.select(F.col("v").alias("a"), F.col("m").alias("b"))
     known = components(linked.union(_confirm(star, texts, threshold)))
 
-    rest = _mixed(crowd, known, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    x, y = _grid(_mixed(crowd, known, "rest"))
     equal_bits = 128 - F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (equal_bits >= fewest_equal_bits(threshold))
+    near = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.part") != F.col("y.part")) & (equal_bits >= fewest_equal_bits(threshold))
     near &= (F.col("x.n") >= threshold * 0.99 * F.col("y.n")) & (F.col("y.n") >= threshold * 0.99 * F.col("x.n"))
-    close = written(x.join(y, near, "left_semi"), "close")  # of each pair that is left, both rows
+    close = written(x.join(y, near, "left_semi").drop("cell").distinct(), "close")  # of each pair that is left, both rows
     sets = _sets_of(close.select("rep").distinct(), texts).withColumnRenamed("id", "rep")
-    full = close.join(sets, "rep")
-    x, y = full.alias("x"), full.alias("y")
+    x, y = _grid(close.join(sets, "rep"))
     more = written(x.join(y, near & (F.col("x.rep") < F.col("y.rep")) & _similar("x.sh", "y.sh", threshold)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "more")
     if not more.isEmpty():
         known = components(known.select(F.col("v").alias("a"), F.col("m").alias("b")).union(more))

@@ -13,7 +13,7 @@ bounded) to the scan of the texts, which never move. The model is about a megaby
 
 Defined results: null and empty texts have the statistics of an empty text and no words;
 labels other than 0 and 1, or of an unknown id, are left out; repeated labels of an id count
-once; without labels of both kinds every score is the share of ones (0.5 with none).
+once, by the greater, and of repeated rows of an id the one with the least statistics is learnt from; without labels of both kinds every score is the share of ones (0.5 with none).
 """
 
 from __future__ import annotations
@@ -164,7 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).filter("id is not null and label in (0, 1)")
     sample = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(sample), "id").mapInArrow(_sampled, "id long, label double, buckets binary, weights binary, stats binary").toArrow().sort_by([("id", "ascending"), ("stats", "ascending")])
+    seen = texts.join(F.broadcast(sample), "id").mapInArrow(_sampled, T.StructType([T.StructField("id", texts.schema["id"].dataType), *(T.StructField(n, T.BinaryType() if n != "label" else T.DoubleType()) for n in ("label", "buckets", "weights", "stats"))]))
+    one = seen.groupBy("id").agg(F.min(F.struct("stats", "label", "buckets", "weights")).alias("r"))  # however often an id is repeated
+    found = one.select("id", "r.*").toArrow().sort_by([("id", "ascending")])
     bucket = [np.frombuffer(b, "<u2") for b in found["buckets"].to_pylist()]
     value = [np.frombuffer(b, "<f4") for b in found["weights"].to_pylist()]
     stats = np.array([np.frombuffer(b) for b in found["stats"].to_pylist()]).reshape(-1, STATS)

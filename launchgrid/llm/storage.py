@@ -1,41 +1,12 @@
-"""Where intermediate tables go, and small helpers that every operator here shares."""
+"""Small helpers that every operator here shares, and where intermediate tables go."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-TEXTS_PER_BATCH = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+from launchgrid.sources.shared import written as written
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a new temporary folder is made and set as checkpoint folder.
-    """
-    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    Cuts the lineage: later jobs read files that outlive any executor. The table stays
-    until the folder is cleared, like a checkpoint without a cleaner.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+TEXTS_PER_BATCH = 1000
 
 
 def bounded_batches(spark: SparkSession, rows: int = TEXTS_PER_BATCH) -> None:

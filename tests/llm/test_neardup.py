@@ -142,3 +142,40 @@ def test_pipeline(spark):
     # Partitions pack on their own, so pieces may be cut elsewhere; what is packed is the same.
     whole = lambda df: sorted(map(tuple, df.groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")).collect()))
     assert whole(p.run(spark, SF)) == whole(packed)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark):
+    import corpus_pipeline as p
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").select(*p.COLUMNS)
+    odd = odd_documents(spark).withColumn("n_chars", F.char_length("text").cast("long"))
+    for docs in (odd, odd.limit(0)):
+        for name, stage in p.STAGES[:-1]:
+            docs = stage(spark, docs, SF).cache()
+            assert docs.columns == list(p.COLUMNS), name
+        packed = p.STAGES[-1][1](spark, docs, SF)
+        ids = lambda df: {r.doc_id for r in df.select("doc_id").distinct().collect()}
+        assert ids(packed) == ids(docs)
+    # What the learnt stage keeps is the corpus's affair; the others must not lose an odd row.
+    mixed = base.unionByName(odd.select(*p.COLUMNS).withColumn("doc_id", F.col("doc_id") + 10**6))
+    single = p.drop_near_duplicates(spark, mixed, SF).cache()
+    kept = single.filter(f"doc_id >= {10**6} or doc_id is null").collect()
+    assert sorted((r.doc_id is None, (r.doc_id or 0) % 10**6) for r in kept) == sorted([(False, i) for i in (0, 1, 2, 3, 3, 4, 5, 6, 7)] + [(True, 0)])
+    clean = p.redact_personal_data(spark, single, SF)
+    assert clean.count() == single.count() and clean.filter("text is null and n_chars is not null").count() == 0
+
+
+def test_a_large_band_is_compared_in_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GRID", 3)
+    rows = spark.createDataFrame([(i % 2, i) for i in range(41)], "band long, rep long")
+    x, y = neardup._grid(rows)
+    met = x.join(y, F.col("x.cell") == F.col("y.cell")).select("x.rep", "y.rep", "x.band", "y.band").collect()
+    assert len(met) == len(set(met)) == sum(1 for a in range(41) for b in range(41) if a % 2 == b % 2)
+    test_chains_and_near_misses(spark)
+
+
+def test_components_around_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_HUB", 5)
+    edges = [(7, i) for i in range(100, 400)] + [(i, i + 1000) for i in range(100, 200)] + [(3, 1150), (None, 5), (5, None)]
+    got = {r.v: r.m for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+    assert got == {v: 3 for e in edges for v in e if None not in e and v != 3}
