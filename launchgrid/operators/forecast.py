@@ -11,6 +11,8 @@ from launchgrid.schemas import DAY_ONE, FEATURES, OUT_OF_SCOPE_GENRES, OUTCOMES,
 
 LEAST_HISTORY, MOST_WEIGHT, TITLE_WEIGHT, WINDOWS_ONLY = 2, 0.6, 0.2, 1.05
 FOLDS, REPEATS, LEAST_ROWS = 5, 20, 8
+HEAD = 3  # characters of a fold key within which places are counted
+EXACT_LABELS = 100_000
 
 
 def smoothed(counts: list[Column], add: float) -> list[Column]:
@@ -26,7 +28,7 @@ def base_rate(labelled: DataFrame) -> DataFrame:
 
 
 def rule_forecast(targets: DataFrame, histories: DataFrame, base: DataFrame) -> DataFrame:
-    """(appid, history, weight, p_<outcome>, predicted, probability) for each target.
+    """(appid, history, weight, p_<outcome>, predicted, probability, windows_only) for each target.
 
     ``targets``: appid and on_windows, on_mac, on_linux; ``histories``: overlap_records;
     ``base``: base_rate, one row, so it is broadcast.
@@ -44,7 +46,27 @@ def rule_forecast(targets: DataFrame, histories: DataFrame, base: DataFrame) ->
     rows = rows.withColumns({f"p_{o}": F.bround(F.col(f"w_{o}") / total, 4) for o in OUTCOMES})
     ps = F.array(*(F.col(f"p_{o}") for o in OUTCOMES))
     names = F.array(*(F.lit(o) for o in OUTCOMES))
-    return rows.select("appid", "history", "weight", *(f"p_{o}" for o in OUTCOMES), F.element_at(names, likeliest(ps) + 1).alias("predicted"), F.array_max(ps).alias("probability"))
+    return rows.select("appid", "history", "weight", *(f"p_{o}" for o in OUTCOMES), F.element_at(names, likeliest(ps) + 1).alias("predicted"), F.array_max(ps).alias("probability"), only.alias("windows_only"))
+
+
+def told(forecasts: DataFrame, names: DataFrame, base: DataFrame) -> DataFrame:
+    """``forecasts`` with confidence (low: a prior is never more), rationale and basis, as text.
+
+    ``names``: first_names of the same targets; ``base``: base_rate, one row, so it is broadcast.
+    """
+    rows = forecasts.join(names, "appid", "left").crossJoin(F.broadcast(base.select("n_labelled")))
+    text = lambda c: F.col(c).cast("string")
+    percent = lambda c: F.concat(F.bround(c * 100, 0).cast("int").cast("string"), F.lit("%"))
+    leans = F.concat(F.lit("leans "), "predicted", F.lit(" ("), percent(F.col("probability")), F.lit("), "))
+    more = F.when(F.col("history") > 3, ", …").otherwise("")
+    rationale = F.when(F.col("history") >= LEAST_HISTORY, F.concat(leans, F.lit("mostly by how "), text("history"), F.lit(" earlier titles of the team came out"))).otherwise(F.concat(leans, F.lit("from all labelled titles; the team has no track record")))
+    record = (
+        F.when(F.col("history") >= LEAST_HISTORY, F.concat(text("history"), F.lit(" labelled titles of the team ("), F.array_join("names", ", "), more, F.lit("), weight "), percent(F.col("weight"))))
+        .when(F.col("history") > 0, "a single labelled title of the team, too few to count")
+        .otherwise("no labelled title of the team")
+    )
+    basis = F.concat_ws("; ", F.concat(F.lit("base rate of "), text("n_labelled"), F.lit(" labelled titles")), record, F.when(F.col("windows_only"), "on Windows only"))
+    return rows.select(*(c for c in forecasts.columns if c != "windows_only"), F.lit("low").alias("confidence"), rationale.alias("rationale"), basis.alias("basis"))
 
 
 def assert_no_leakage(names: list[str]) -> None:
@@ -95,14 +117,20 @@ def folds(labelled: DataFrame, repeats: int = REPEATS, key=lambda appid, repeat:
     """(appid, outcome, repeat, fold): stratified folds, the same on every run.
 
     As many folds as the smallest outcome has titles, five at most. Fewer than eight titles,
-    or an outcome with one, raise.
+    or an outcome with one, raise. ``key`` is a text whose order is the shuffle: places are counted
+    within equal first characters, and those counts are summed up, so no outcome is one task.
     """
     sizes = [r.n for r in labelled.groupBy("outcome").agg(F.count("*").alias("n")).collect()]
     if sum(sizes) < LEAST_ROWS or min(sizes, default=0) < 2:
         raise ValueError("too few labelled titles, or an outcome with a single one")
-    rows = labelled.select("appid", "outcome", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    order = Window.partitionBy("repeat", "outcome").orderBy(key(F.col("appid"), F.col("repeat")), "appid")
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % min(FOLDS, *sizes))
+    rows = labelled.select("appid", "outcome", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).withColumn("key", key(F.col("appid"), F.col("repeat")))
+    rows = rows.withColumn("head", F.substring("key", 1, HEAD))
+    heads = ["repeat", "outcome", "head"]
+    before = Window.partitionBy("repeat", "outcome").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*heads).agg(F.count("*").alias("n")).select(*heads, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*heads).orderBy("key", "appid")) - 1
+    fold = F.pmod(F.col("before") + F.col("place"), F.lit(min(FOLDS, *sizes))).cast("int")
+    return rows.withColumn("place", place).join(counts, heads).select("appid", "outcome", "repeat", fold.alias("fold"))
 
 
 def fold_constants(assigned: DataFrame) -> DataFrame:
@@ -146,7 +174,18 @@ def gate(scores: DataFrame) -> DataFrame:
     return one.select("*", F.coalesce(passes, F.lit(False)).alias("passes"), verdict.alias("verdict"))
 
 
-def label_fingerprint(labelled: DataFrame) -> DataFrame:
-    """One row (n, fingerprint): the same for the same labels in any order, and distributed."""
+def label_fingerprint(labelled: DataFrame, most: int = EXACT_LABELS) -> DataFrame:
+    """One row (n, fingerprint): the same for the same labels in any order.
+
+    Up to ``most`` labels: n, then the first 16 digits of the SHA-256 of the sorted pairs as JSON.
+    Beyond, the pairs are summed up as hashes instead, so no task holds them all; such a fingerprint
+    has a third part, "sums", and equals none of the others.
+    """
+    pair = F.struct("appid", "outcome")
+    if labelled.count() <= most:
+        written = F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.concat(F.lit("["), x["appid"].cast("string"), F.lit(', "'), x["outcome"], F.lit('"]')))
+        text = F.concat(F.lit("["), F.array_join(written, ", "), F.lit("]"))
+        return labelled.agg(F.count("*").alias("n"), text.alias("text")).select("n", F.concat_ws(":", F.col("n").cast("string"), F.left(F.sha2("text", 256), F.lit(16))).alias("fingerprint"))
     h = F.xxhash64("appid", "outcome")
-    return labelled.agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), F.bit_xor(h).alias("b")).select("n", F.concat_ws(":", F.col("n").cast("string"), F.left(F.sha2(F.concat_ws(",", F.coalesce("a", F.lit(0)).cast("string"), F.coalesce("b", F.lit(0)).cast("string")), 256), F.lit(16))).alias("fingerprint"))
+    one = labelled.agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), F.bit_xor(h).alias("b"))
+    return one.select("n", F.concat_ws(":", F.col("n").cast("string"), F.left(F.sha2(F.concat_ws(",", F.col("a").cast("string"), F.col("b").cast("string")), 256), F.lit(16)), F.lit("sums")).alias("fingerprint"))

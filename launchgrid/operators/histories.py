@@ -9,6 +9,9 @@ from launchgrid.functions.text import companies, raw_names
 from launchgrid.schemas import OUTCOMES
 
 DEFAULT_VOLUME, DEFAULT_POSITIVE = 50.0, 75.0
+RECORD = ("n", "n_pct", "s_pct", "n_pos", "s_pos")
+NO_DAY = 2**31 - 1
+NAMES_TOLD = 3
 
 
 def _two_decimals(tenths: Column, n: Column) -> Column:
@@ -16,43 +19,41 @@ def _two_decimals(tenths: Column, n: Column) -> Column:
     return F.bround(10.0 * tenths / n, 0) / 100
 
 
-def named(titles: DataFrame) -> DataFrame:
-    """One row per title and canonical publisher: appid, pos, company.
+def named(titles: DataFrame, *columns: str) -> DataFrame:
+    """One row per title and canonical publisher: appid, pos, company and the asked columns.
 
     Each distinct publisher text is normalised once, however many titles carry it.
     """
     texts = titles.select("publisher").filter("publisher is not null").distinct()
     known = texts.select("publisher", F.posexplode(companies(F.col("publisher"))).alias("pos", "company"))
-    return titles.join(known, "publisher").select("appid", "pos", "company")
+    return titles.select("appid", "publisher", *columns).join(known, "publisher").select("appid", "pos", "company", *columns)
 
 
 def publisher_records(titles: DataFrame) -> DataFrame:
     """(appid, title_count, mean_volume_pct, mean_positive_pct, known), as of each title's date.
 
     ``titles``: appid, publisher, store_date, percentile, positive_pct. Counted are dated titles of
-    the company that came out strictly earlier. The first listed company with any wins. Running
-    sums go over (company, day) totals, so a large publisher is some thousand rows.
+    the company that came out strictly earlier; for an undated title all dated ones are. The first
+    listed company with any wins. Running sums go over (company, day) totals, so a large
+    publisher is some thousand rows; an undated title stands on a day after all others.
     """
-    by = named(titles).join(titles.select("appid", "store_date", "percentile", "positive_pct"), "appid")
-    day = F.date_diff("store_date", F.lit("1970-01-01").cast("date"))
-    tenths = lambda c: F.bround(F.col(c) * 10, 0).cast("bigint")
-    by = by.withColumn("day", day)
-    daily = by.filter("day is not null").groupBy("company", "day").agg(
-        F.count("*").alias("n"), F.count("percentile").alias("n_pct"), F.sum(tenths("percentile")).alias("s_pct"), F.count("positive_pct").alias("n_pos"), F.sum(tenths("positive_pct")).alias("s_pos")
+    day = F.coalesce(F.date_diff("store_date", F.lit("1970-01-01").cast("date")), F.lit(NO_DAY))
+    dated = F.col("day") < NO_DAY
+    tenths = lambda c: F.sum(F.when(dated, F.bround(F.col(c) * 10, 0).cast("bigint")))
+    by = named(titles, "store_date", "percentile", "positive_pct").withColumn("day", day)
+    daily = by.groupBy("company", "day").agg(
+        F.count_if(dated).alias("n"), F.count_if(dated & F.col("percentile").isNotNull()).alias("n_pct"), tenths("percentile").alias("s_pct"), F.count_if(dated & F.col("positive_pct").isNotNull()).alias("n_pos"), tenths("positive_pct").alias("s_pos")
     )
     before = Window.partitionBy("company").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    running = daily.select("company", "day", *(F.sum(c).over(before).alias(c) for c in ("n", "n_pct", "s_pct", "n_pos", "s_pos")))
-    total = daily.groupBy("company").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "n_pct", "s_pct", "n_pos", "s_pos")))
-    undated = by.filter("day is null").join(total, "company").select("appid", "pos", *(F.col(f"all_{c}").alias(c) for c in ("n", "n_pct", "s_pct", "n_pos", "s_pos")))
-    dated = by.select("appid", "pos", "company", "day").join(running, ["company", "day"]).select("appid", "pos", "n", "n_pct", "s_pct", "n_pos", "s_pos")
-    first = dated.unionByName(undated).filter("n > 0").groupBy("appid").agg(F.min_by(F.struct("n", "n_pct", "s_pct", "n_pos", "s_pos"), "pos").alias("r"))
+    running = daily.select("company", "day", *(F.sum(c).over(before).alias(c) for c in RECORD))
+    first = by.select("appid", "pos", "company", "day").join(running, ["company", "day"]).filter("n > 0").groupBy("appid").agg(F.min_by(F.struct(*RECORD), "pos").alias("r"))
     return _as_record(titles.select("appid").join(first, "appid", "left"))
 
 
 def live_records(tracked: DataFrame, titles: DataFrame) -> DataFrame:
     """The same for titles not out yet: every dated title of history counts."""
     tenths = lambda c: F.bround(F.col(c) * 10, 0).cast("bigint")
-    total = named(titles).join(titles.filter("store_date is not null"), "appid").groupBy("company").agg(
+    total = named(titles.filter("store_date is not null"), "percentile", "positive_pct").groupBy("company").agg(
         F.count("*").alias("n"), F.count("percentile").alias("n_pct"), F.sum(tenths("percentile")).alias("s_pct"), F.count("positive_pct").alias("n_pos"), F.sum(tenths("positive_pct")).alias("s_pos")
     )
     first = named(tracked).join(total, "company").groupBy("appid").agg(F.min_by(F.struct("n", "n_pct", "s_pct", "n_pos", "s_pos"), "pos").alias("r"))
@@ -88,6 +89,20 @@ def overlap_records(targets: DataFrame, labelled: DataFrame) -> DataFrame:
     return found.join(own, "appid", "left").select("appid", *((F.coalesce(c, F.lit(0)) - itself(c)).cast("bigint").alias(c) for c in cols))
 
 
+def first_names(targets: DataFrame, labelled: DataFrame, most: int = NAMES_TOLD) -> DataFrame:
+    """(appid, names): the first ``most`` distinct titles, by name, of each target's overlap history.
+
+    Of each raw name only its first titles by name are joined, one more than are asked for, as a
+    target itself may be among them; so a name that very many titles share brings a handful.
+    """
+    spread = lambda df, *columns: df.select("appid", *columns, F.explode(F.array_distinct(raw_names(F.col("developer"), F.col("publisher")))).alias("name"))
+    held = spread(labelled, "game_name").groupBy("name", "game_name").agg(F.min("appid").alias("low"), F.max("appid").alias("high"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("game_name"))
+    few = held.withColumn("place", place).filter(F.col("place") <= most + 1)
+    met = spread(targets).join(few, "name").filter((F.col("low") != F.col("appid")) | (F.col("high") != F.col("appid")))
+    return met.groupBy("appid").agg(F.slice(F.array_sort(F.collect_set("game_name")), 1, most).alias("names"))
+
+
 def _name_sets(names: Column) -> Column:
     """Every non-empty subset of an array of distinct names, each in order."""
     none = F.array().cast("array<array<string>>")
@@ -100,7 +115,7 @@ def publisher_stats(titles: DataFrame, least_titles: int = 2) -> DataFrame:
 
     ``titles``: appid, publisher, cohort_year, percentile, positive_pct, platforms.
     """
-    by = named(titles).join(titles.select("appid", "cohort_year", "percentile", "positive_pct", "platforms"), "appid")
+    by = named(titles, "cohort_year", "percentile", "positive_pct", "platforms")
     out = by.groupBy("company").agg(
         F.count("*").alias("title_count"),
         _two_decimals(F.sum(F.bround(F.col("percentile") * 10, 0).cast("bigint")), F.count("percentile")).alias("mean_volume_pct"),
@@ -113,7 +128,12 @@ def publisher_stats(titles: DataFrame, least_titles: int = 2) -> DataFrame:
 
 
 def dilution(titles: DataFrame, days: int = 90) -> DataFrame:
-    """(appid, company, nearby): titles of the same publisher within ``days`` either way."""
-    by = named(titles).join(titles.select("appid", "store_date"), "appid").filter("store_date is not null")
-    near = Window.partitionBy("company").orderBy(F.date_diff("store_date", F.lit("1970-01-01").cast("date"))).rangeBetween(-days, days)
-    return by.select("appid", "company", (F.count("*").over(near) - 1).alias("nearby"))
+    """(appid, company, nearby): titles of the same publisher within ``days`` either way.
+
+    Windows go over (company, day) counts, so a large publisher is some thousand rows.
+    """
+    day = F.date_diff("store_date", F.lit("1970-01-01").cast("date"))
+    by = named(titles.filter("store_date is not null"), "store_date").withColumn("day", day)
+    near = Window.partitionBy("company").orderBy("day").rangeBetween(-days, days)
+    daily = by.groupBy("company", "day").agg(F.count("*").alias("n")).select("company", "day", F.sum("n").over(near).alias("n"))
+    return by.select("appid", "company", "day").join(daily, ["company", "day"]).select("appid", "company", (F.col("n") - 1).alias("nearby"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SILHOUETTE_BAR, AGREEMENT_BAR = 0.35, 0.75
+AT_ONCE = 4
 VECTOR = ("log_count", "mean_volume_pct", "mean_positive_pct", "mean_breadth", "span_years")
 
 
@@ -23,13 +25,18 @@ def vectors(stats: DataFrame) -> DataFrame:
     return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(joined).transform(joined)
 
 
-def clustered(rows: DataFrame, k: int = 3, seeds: range = range(5)) -> DataFrame:
+def clustered(rows: DataFrame, k: int = 3, seeds: range = range(25)) -> DataFrame:
     """``rows`` with the ``label`` of the seed of least cost. The rows are fitted from a cache."""
-    rows = rows.cache()
-    best = min((KMeans(k=k, seed=s, featuresCol="features", predictionCol="label").fit(rows) for s in seeds), key=lambda m: m.summary.trainingCost)
+    best = min(_fitted(rows.cache(), k, seeds), key=lambda m: m.summary.trainingCost)
     return best.transform(rows)
 
 
+def _fitted(rows: DataFrame, k: int, seeds: range) -> list:
+    """A fit for each seed; some run side by side, to fill the cluster."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(lambda s: KMeans(k=k, seed=s, featuresCol="features", predictionCol="label").fit(rows), seeds))
+
+
 def by_scale(labelled: DataFrame, names: tuple[str, ...] = ("small", "mid", "large")) -> DataFrame:
     """(label, tier, tier_name): clusters in ascending scale, mean log count plus mean percentile."""
     scale = labelled.groupBy("label").agg((F.avg(F.log1p("title_count")) + F.avg("mean_volume_pct") / 100).alias("scale"))
@@ -49,16 +56,26 @@ def adjusted_rand(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return one.select("n", F.coalesce(F.when(top - chance != 0, (F.col("both") - chance) / (top - chance)), F.lit(1.0)).alias("adjusted_rand"))
 
 
-def seed_agreement(rows: DataFrame, k: int = 3, seeds: range = range(4)) -> float:
+def seed_agreement(rows: DataFrame, k: int = 3, seeds: range = range(12)) -> float:
     """Mean adjusted Rand index over pairs of seeds."""
     rows = rows.cache()
-    runs = [KMeans(k=k, seed=s, featuresCol="features", predictionCol="label").fit(rows).transform(rows).select("company", F.col("label").alias(f"l{s}")) for s in seeds]
-    every = runs[0]
-    for r in runs[1:]:
-        every = every.join(r, "company")
-    every = every.cache()
-    scores = [adjusted_rand(every, f"l{a}", f"l{b}").first().adjusted_rand for a, b in combinations(seeds, 2)]
-    return float(np.mean(scores))
+    every = rows.select("company", "features")
+    for s, m in zip(seeds, _fitted(rows, k, seeds), strict=True):
+        every = m.setPredictionCol(f"l{s}").transform(every)
+    every = every.select(*(f"l{s}" for s in seeds)).cache()
+    # All contingency tables in one pass: k x k counts a pair of seeds.
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("pair"), F.col(f"l{a}").alias("a"), F.col(f"l{b}").alias("b")) for i, (a, b) in enumerate(combinations(seeds, 2)))))
+    cells = every.select(pairs.alias("x")).groupBy("x.pair", "x.a", "x.b").agg(F.count("*").alias("n")).toPandas()
+    return float(np.mean([_rand_of(c) for _, c in cells.groupby("pair")]))
+
+
+def _rand_of(cells: pd.DataFrame) -> float:
+    """The adjusted Rand index of a small contingency table (a, b, n)."""
+    two = lambda n: (n * (n - 1) / 2).sum()
+    both, in_a, in_b, total = two(cells.n), two(cells.groupby("a").n.sum()), two(cells.groupby("b").n.sum()), cells.n.sum()
+    chance = in_a * in_b / (total * (total - 1) / 2) if total > 1 else 0.0
+    top = (in_a + in_b) / 2
+    return float((both - chance) / (top - chance)) if top != chance else 1.0
 
 
 def silhouette(labelled: DataFrame, block: int = 2000) -> DataFrame:
@@ -97,3 +114,8 @@ def tier_table(stats: DataFrame, k: int = 3) -> DataFrame:
     placed = found.join(F.broadcast(by_scale(found)), "label")
     none = lambda c, kind: F.col(c) if stable else F.lit(None).cast(kind)
     return placed.select(*stats.columns, none("tier", "int").alias("tier"), none("tier_name", "string").alias("tier_name"))
+
+
+def ordered(table: DataFrame) -> DataFrame:
+    """A tier table for review: highest tier first, then most titles."""
+    return table.orderBy(F.col("tier").desc_nulls_last(), F.desc("title_count"), "company")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from launchgrid.functions import measures
 from launchgrid.functions.dates import is_coarse, loose_date, research_anchor
 from launchgrid.functions.text import out_of_scope
-from launchgrid.operators import catalog, quality, validation
+from launchgrid.operators import catalog, quality, queues, validation
 from launchgrid.plans.registry import query
 from launchgrid.schemas import CURATED_COLUMNS, OUT_OF_SCOPE_GENRES
 from launchgrid.sources import curated, landed, logical
@@ -35,7 +35,7 @@ VERDICT = f"CASE WHEN abs{GAP} <= 1 THEN 'day_one_steam' WHEN appid % 17 = 0 THE
 
 @query(f"{T} SELECT appid, {VERDICT} AS verdict, CASE WHEN abs{GAP} <= 1 THEN 'day_one_steam' ELSE '' END AS proposed, {GAP}::INTEGER AS gap_days FROM titles")
 def platform_type_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D5, F6, F8."""
+    """D5, F6."""
     return validation.proposals(titles(spark, sf_dir))
 
 
@@ -144,12 +144,35 @@ def curated_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{T} SELECT appid, store_date FROM titles WHERE launch_type = 'unknown' AND appid % 3 <> 0")
 def pending_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of unknown launch type, in order of date, without those answered."""
+    """Titles of unknown launch type, in order of date, without those answered."""
     t = titles(spark, sf_dir)
     queue = t.filter(F.col("launch_type") == "unknown").select("appid", "store_date")
     return quality.pending(queue, t.filter(F.col("appid") % 3 == 0)).orderBy("store_date", "appid")
 
 
+@query(f"{T} SELECT appid, store_date FROM titles WHERE appid % 12 = 0")
+def missing_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """titles without a launch price, by date; every twelfth has none."""
+    t = titles(spark, sf_dir).withColumn("launch_price_cents", F.when(F.col("appid") % 12 != 0, F.col("launch_price_cents")))
+    return queues.missing_prices(t).select("appid", "store_date")
+
+
+@query(f"{T} SELECT appid, store_date, studio, support FROM titles WHERE studio <> 'unknown' AND support <> 'unknown'")
+def answered_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """titles whose two signals are both known, by date."""
+    return queues.answered(titles(spark, sf_dir)).select("appid", "store_date", "studio", "support")
+
+
+@query(f"""{T}, d AS (SELECT appid, CASE WHEN appid % 16 <> 0 THEN store_date END AS store_date, launch_type FROM titles)
+SELECT false AS include_ports, count(*)::BIGINT AS titles, sum(appid)::BIGINT AS sum_appid FROM d WHERE store_date IS NOT NULL AND launch_type IN ('day_one_steam', 'unknown')
+UNION ALL SELECT true, count(*)::BIGINT, sum(appid)::BIGINT FROM d WHERE store_date IS NOT NULL""")
+def probe_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: whose launches a probe looks at, with and without ports; every sixteenth title is undated."""
+    t = titles(spark, sf_dir).withColumn("store_date", F.when(F.col("appid") % 16 != 0, F.col("store_date")))
+    totals = lambda ports: queues.probe_scope(t, ports).agg(F.count("*").alias("titles"), F.sum("appid").alias("sum_appid")).select(F.lit(ports).alias("include_ports"), "titles", "sum_appid")
+    return totals(False).unionByName(totals(True))
+
+
 @query("SELECT l_orderkey AS appid, bool_or(o_orderkey IS NOT NULL) AS present FROM (SELECT l_orderkey + l_suppkey AS l_orderkey FROM lineitem) LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey")
 def requested_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10."""

@@ -13,6 +13,7 @@ from launchgrid.plans.scoring import ranked, rates, summaries
 from launchgrid.schemas import DAY_ONE, OUTCOMES
 from launchgrid.sources import logical
 from launchgrid.sources.logical import BASE
+from launchgrid.sources.shared import written
 
 WIDE = f"""{BASE}, wide AS (
   SELECT t.*, s.first_total, s.positive_pct, s.retention, p.percentile FROM titles t JOIN summary s USING (appid) LEFT JOIN percentiles p USING (appid)
@@ -27,7 +28,8 @@ record AS (
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(summaries(spark, sf_dir))
+    """Titles with their launch summaries and percentiles, written once: histories read them several times."""
+    return written(ranked(summaries(spark, sf_dir)), "wide")
 
 
 @query("""SELECT o_orderkey AS appid, c_name AS company, 1::BIGINT AS names, regexp_replace(lower('Title ' || o_orderkey), '[^a-z0-9]', '', 'g') AS title_key FROM orders JOIN customer ON c_custkey = o_custkey""")
@@ -82,25 +84,21 @@ def base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.base_rate(logical.titles(spark, sf_dir))
 
 
-def developer_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts of every title from its developer's labelled titles."""
-    t = logical.titles(spark, sf_dir).withColumn("publisher", F.col("developer"))
-    found = histories.overlap_records(t, labelled(spark, sf_dir).withColumn("publisher", F.col("developer")))
-    return forecast.rule_forecast(t, found, forecast.base_rate(t))
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of every title from the labelled titles of all its developers and publishers."""
+    t = logical.titles(spark, sf_dir)
+    return forecast.rule_forecast(t, histories.overlap_records(t, labelled(spark, sf_dir)), forecast.base_rate(t))
 
 
-FORECAST = f"""{BASE}, {BASE_RATE.strip()}, dev AS (
-  SELECT developer, count(*) AS history, {', '.join(f"count(CASE WHEN outcome = '{o}' THEN 1 END) AS {o}" for o in OUTCOMES)} FROM titles WHERE launch_type = 'day_one_steam' AND outcome IS NOT NULL GROUP BY developer
-), own AS (
-  SELECT t.appid, t.on_mac, t.on_linux, t.outcome, t.launch_type, (coalesce(history, 0) - (launch_type = 'day_one_steam' AND outcome IS NOT NULL)::INTEGER)::BIGINT AS history,
-    {', '.join(f"coalesce({o}, 0) - (launch_type = 'day_one_steam' AND coalesce(outcome = '{o}', false))::INTEGER AS {o}" for o in OUTCOMES)} FROM titles t LEFT JOIN dev USING (developer)
+FORECAST = f"""{OVERLAP.replace(" WHERE appid % 25 = 0", "")}, {BASE_RATE.strip()}, own AS (
+  SELECT t.appid, t.on_mac, t.on_linux, t.outcome, t.launch_type, o.history, {', '.join(f"o.{x}" for x in OUTCOMES)} FROM titles t JOIN overlap o USING (appid)
 ), weighed AS (
   SELECT own.*, CASE WHEN own.history >= 2 THEN least(0.6::DOUBLE, 0.2::DOUBLE * own.history) ELSE 0.0 END AS weight, {', '.join(f"base.{o} AS b_{o}" for o in OUTCOMES)} FROM own, base
 ), mixed AS (
-  SELECT appid, outcome, launch_type, history, weight, {', '.join(f"(CASE WHEN weight > 0 THEN (1 - weight) * b_{o} + weight * round_even(({o} + 0.5::DOUBLE) / (flop + underperform + success + breakout + 2.0::DOUBLE), 4) ELSE b_{o} END)"
+  SELECT appid, outcome, launch_type, history, weight, NOT on_mac AND NOT on_linux AS windows_only, {', '.join(f"(CASE WHEN weight > 0 THEN (1 - weight) * b_{o} + weight * round_even(({o} + 0.5::DOUBLE) / (flop + underperform + success + breakout + 2.0::DOUBLE), 4) ELSE b_{o} END)"
   + (" * CASE WHEN NOT on_mac AND NOT on_linux THEN 1.05::DOUBLE ELSE 1.0 END" if o in OUTCOMES[:2] else "") + f" AS w_{o}" for o in OUTCOMES)} FROM weighed
 ), forecasts AS (
-  SELECT appid, outcome, launch_type, history, weight, {', '.join(f"round_even(w_{o} / (w_flop + w_underperform + w_success + w_breakout), 4) AS p_{o}" for o in OUTCOMES)} FROM mixed
+  SELECT appid, outcome, launch_type, history, weight, windows_only, {', '.join(f"round_even(w_{o} / (w_flop + w_underperform + w_success + w_breakout), 4) AS p_{o}" for o in OUTCOMES)} FROM mixed
 ), said AS (
   SELECT *, greatest(p_flop, p_underperform, p_success, p_breakout) AS probability FROM forecasts
 ), calls AS (
@@ -111,14 +109,25 @@ FORECAST = f"""{BASE}, {BASE_RATE.strip()}, dev AS (
 @query(f"{FORECAST} SELECT appid, history, weight, {', '.join(f'p_{o}' for o in OUTCOMES)}, predicted, probability FROM calls")
 def rule_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8, X3, O6."""
-    return developer_forecast(spark, sf_dir)
+    return forecasts(spark, sf_dir).drop("windows_only")
+
+
+@query(f"""{FORECAST}, told AS (SELECT p.appid, list_sort(list(DISTINCT t.game_name))[:3] AS names FROM pairs p JOIN titles t ON t.appid = p.other GROUP BY p.appid),
+words AS (SELECT c.*, t.names, 'leans ' || predicted || ' (' || round_even(100 * probability, 0)::INTEGER || '%), ' AS leans, (SELECT n_labelled FROM base) AS n_labelled FROM calls c LEFT JOIN told t USING (appid))
+SELECT appid, predicted, 'low' AS confidence, leans || CASE WHEN history >= 2 THEN 'mostly by how ' || history || ' earlier titles of the team came out' ELSE 'from all labelled titles; the team has no track record' END AS rationale,
+  concat_ws('; ', 'base rate of ' || n_labelled || ' labelled titles', CASE WHEN history >= 2 THEN history || ' labelled titles of the team (' || array_to_string(names, ', ') || CASE WHEN history > 3 THEN ', …' ELSE '' END || '), weight ' || round_even(100 * weight, 0)::INTEGER || '%'
+    WHEN history > 0 THEN 'a single labelled title of the team, too few to count' ELSE 'no labelled title of the team' END, CASE WHEN windows_only THEN 'on Windows only' END) AS basis FROM words""")
+def forecast_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a forecast rests on, with the first three names of its history."""
+    t, l = logical.titles(spark, sf_dir), labelled(spark, sf_dir)
+    return forecast.told(forecasts(spark, sf_dir), histories.first_names(t, l), forecast.base_rate(t)).select("appid", "predicted", "confidence", "rationale", "basis")
 
 
 @query(f"""{FORECAST}, l AS (SELECT * FROM calls WHERE launch_type = 'day_one_steam' AND outcome IS NOT NULL), m AS (SELECT outcome, count(*) AS n FROM l GROUP BY outcome)
 SELECT count(*)::BIGINT AS n, round_even(100.0::DOUBLE * count(CASE WHEN outcome = predicted THEN 1 END) / count(*), 1) AS accuracy, round_even(100.0::DOUBLE * (SELECT max(n) FROM m) / count(*), 1) AS majority FROM l""")
 def baseline_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A title's own label is left out of its history, but not out of the base rate."""
-    l = developer_forecast(spark, sf_dir).join(labelled(spark, sf_dir).select("appid", "outcome"), "appid")
+    l = forecasts(spark, sf_dir).join(labelled(spark, sf_dir).select("appid", "outcome"), "appid")
     top = l.groupBy("outcome").agg(F.count("*").alias("k")).agg(F.max("k").alias("k"))
     one = l.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == F.col("predicted")).alias("hits")).crossJoin(F.broadcast(top))
     return one.select("n", F.bround(100.0 * F.col("hits") / F.col("n"), 1).alias("accuracy"), F.bround(100.0 * F.col("k") / F.col("n"), 1).alias("majority"))
@@ -128,7 +137,7 @@ def baseline_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT launch_type, count(*)::BIGINT AS n, count(CASE WHEN a = b THEN 1 END)::BIGINT AS hits, sum(abs(a - b))::BIGINT AS distance FROM r GROUP BY launch_type""")
 def forecast_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was forecast against what came of it, by launch type."""
-    rows = developer_forecast(spark, sf_dir).join(logical.titles(spark, sf_dir).select("appid", "outcome", "launch_type"), "appid").filter("outcome is not null")
+    rows = forecasts(spark, sf_dir).join(logical.titles(spark, sf_dir).select("appid", "outcome", "launch_type"), "appid").filter("outcome is not null")
     a, b = outcome_rank(F.col("outcome")), outcome_rank(F.col("predicted"))
     return rows.groupBy("launch_type").agg(F.count("*").alias("n"), F.count_if(a == b).alias("hits"), F.sum(F.abs(a - b)).alias("distance"))
 
@@ -187,7 +196,7 @@ def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out rows whose prediction is the rule forecast, with each fold's constants."""
     assigned = forecast.folds(labelled(spark, sf_dir), repeats=3)
-    said = developer_forecast(spark, sf_dir).select("appid", outcome_rank(F.col("predicted")).alias("predicted"))
+    said = forecasts(spark, sf_dir).select("appid", outcome_rank(F.col("predicted")).alias("predicted"))
     return assigned.join(forecast.fold_constants(assigned), ["repeat", "fold"]).join(said, "appid").select("appid", "repeat", "fold", outcome_rank(F.col("outcome")).alias("actual"), "predicted", "modal", "median")
 
 
@@ -203,8 +212,8 @@ held AS (SELECT r.appid, r.repeat, r.fold, r.actual::INTEGER AS actual, (list_po
 SELECT appid, actual, avg((predicted = actual)::INTEGER) AS hit_rate, avg((modal = actual)::INTEGER) AS constant_hit_rate, avg(abs(predicted - actual)) AS model_distance, avg(abs(median - actual)) AS constant_distance, v.predicted AS vote
 FROM held JOIN v USING (appid) WHERE k = 1 GROUP BY appid, actual, v.predicted""".replace("avg((predicted", "avg((held.predicted").replace("abs(predicted", "abs(held.predicted"))
 def heldout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A20, A21."""
-    return forecast.held_out_scores(guesses(spark, sf_dir))
+    """The titles furthest off first."""
+    return training.misses(forecast.held_out_scores(guesses(spark, sf_dir)))
 
 
 @query(f"""{HELD}, s AS (SELECT appid, avg((predicted = actual)::INTEGER) AS h, avg((modal = actual)::INTEGER) AS c, avg(abs(predicted - actual)) AS m, avg(abs(median - actual)) AS d FROM held GROUP BY appid),
@@ -217,9 +226,10 @@ def model_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({c: F.round(c, 6) for c in ("accuracy", "constant_accuracy", "distance", "constant_distance", "improvement", "improvement_se", "ci_low")})
 
 
-@query()
+@query(f"""{BASE}, l AS (SELECT appid, outcome FROM titles WHERE launch_type = 'day_one_steam' AND outcome IS NOT NULL)
+SELECT count(*)::BIGINT AS n, count(*) || ':' || left(sha256('[' || string_agg('[' || appid || ', "' || outcome || '"]', ', ' ORDER BY appid, outcome) || ']'), 16) AS fingerprint FROM l""")
 def label_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order-independent hash; tests hold that it changes with any label and with no order."""
+    """A23."""
     return forecast.label_fingerprint(labelled(spark, sf_dir))
 
 
@@ -227,7 +237,7 @@ def label_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT appid, round(p0 / (p0 + p1 + p2 + p3), 6) AS p0, round(p3 / (p0 + p1 + p2 + p3), 6) AS p3 FROM p""")
 def ordinal_recombine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: tier probabilities from the three P(rank > k)."""
-    c = developer_forecast(spark, sf_dir)
+    c = forecasts(spark, sf_dir)
     above = F.array(F.greatest(1 - F.col("p_flop"), F.lit(0.0)), F.greatest(1 - F.col("p_flop") - F.col("p_underperform"), F.lit(0.0)), F.col("p_breakout"))
     p = c.select("appid", recombined(above).alias("p"))
     return p.select("appid", F.round(F.element_at("p", 1), 6).alias("p0"), F.round(F.element_at("p", 4), 6).alias("p3"))
@@ -238,9 +248,9 @@ def gbt_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLlib's trees per cut, fitted to all labelled titles and applied to titles not out."""
     rows = wide(spark, sf_dir)
     matrix = forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir))
-    model = training.OrdinalTrees(trees=5).fit(matrix)
+    model = training.OrdinalTrees().fit(matrix)
     live = live_features(spark, sf_dir).withColumn("imputed", F.split("imputed", ","))
-    return training.served(live, developer_forecast(spark, sf_dir), model, matrix.count())
+    return training.served(live, forecasts(spark, sf_dir), model, matrix.count())
 
 
 @query()
@@ -255,8 +265,8 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publishers with a tier where the grouping is stable."""
-    return tiers.tier_table(publisher_stats(spark, sf_dir))
+    """Publishers with a tier where the grouping is stable, the highest and largest first."""
+    return tiers.ordered(tiers.tier_table(publisher_stats(spark, sf_dir)))
 
 
 @query(f"""{BASE}, p AS (SELECT outcome AS a, studio AS b FROM titles WHERE outcome IS NOT NULL), cell AS (SELECT a, b, count(*)::DOUBLE AS n FROM p GROUP BY ALL),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from launchgrid.functions import rubric
 from launchgrid.functions.text import dollars
-from launchgrid.operators import cohort, validation, windows
+from launchgrid.operators import cohort, queues, validation, windows
 from launchgrid.plans.registry import query
 from launchgrid.schemas import DAY_ONE, STUDIO, SUPPORT
 from launchgrid.sources import logical
@@ -61,9 +61,35 @@ def rubric_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("appid", "percentile", "positive_pct", "retention", "predicted", "confidence", "met", "unresolved")
 
 
-@query()
+def _ordinal(x: str) -> str:
+    n = f"round_even({x}, 0)::INTEGER"
+    return f"({n} || CASE WHEN {n} % 100 BETWEEN 11 AND 13 THEN 'th' WHEN {n} % 10 = 1 THEN 'st' WHEN {n} % 10 = 2 THEN 'nd' WHEN {n} % 10 = 3 THEN 'rd' ELSE 'th' END)"
+
+
+def _whole(x: str) -> str:
+    return f"round_even({x}, 0)::INTEGER::VARCHAR"
+
+
+def _tenth(x: str) -> str:
+    return f"printf('%.1f', round_even({x}, 1))"
+
+
+PCT = _ordinal("percentile")
+GATE = f"""CASE WHEN coalesce(retention >= 2.5 AND percentile >= 85, false) THEN 'grew to ' || {_tenth("retention")} || 'x its first window from the ' || {PCT} || ' percentile'
+  WHEN positive_pct IS NULL THEN 'no sentiment in the launch window'
+  WHEN positive_pct < 78 THEN CASE WHEN round_even(positive_pct, 0) = 78 THEN {_tenth("positive_pct")} ELSE {_whole("positive_pct")} END || '% positive, under the 78% bar'
+  WHEN percentile < 35 THEN {_whole("positive_pct")} || '% positive, but ' || CASE WHEN round_even(percentile, 0) = 35 THEN {_tenth("percentile")} || 'th' ELSE {PCT} END || ' percentile volume is under the floor of 35'
+  ELSE {_whole("positive_pct")} || '% positive at the ' || {PCT} || ' percentile' END"""
+ABOVE = f"""CASE WHEN percentile >= 90 THEN {PCT} || ' percentile volume, top of its cohort' WHEN percentile >= 80 AND retention >= 2.0 THEN {PCT} || ' percentile volume that kept growing to ' || {_tenth("retention")} || 'x'
+  ELSE 'met its cohort''s bar without breakout volume' END"""
+BELOW = """CASE WHEN studio = 'unknown' AND support = 'unknown' THEN NULL WHEN studio = 'closed' THEN 'the studio closed' WHEN support = 'abandoned' THEN 'support was abandoned'
+  WHEN studio = 'severe_layoffs' AND support <> 'sustained' THEN 'severe layoffs and support cut short' WHEN studio = 'severe_layoffs' THEN 'severe layoffs, support as planned' ELSE 'studio ' || studio || ', support ' || support END"""
+TOLD = f"CASE WHEN percentile IS NULL THEN '' ELSE concat_ws('; ', {GATE}, CASE WHEN met THEN {ABOVE} ELSE {BELOW} END) END"
+
+
+@query(f"{SCORED} SELECT appid, predicted, {TOLD} AS reasons FROM final")
 def rubric_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gates that decided, as text. Tests hold the wording's numbers."""
+    """The gates that decided, as text."""
     return scored(spark, sf_dir).select("appid", "predicted", F.array_join("reasons", "; ").alias("reasons"))
 
 
@@ -74,6 +100,16 @@ def window_review_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_totals(logical.titles(spark, sf_dir), windows.daily(logical.reviews(spark, sf_dir)), logical.WINDOWS)
 
 
+@query(f"""{BASE}, w AS (SELECT t.appid, {', '.join(f"sum(CASE WHEN day - store_date BETWEEN 0 AND {d - 1} THEN n ELSE 0 END)::BIGINT AS n{d}, sum(CASE WHEN day - store_date BETWEEN 0 AND {d - 1} THEN positive ELSE 0 END)::BIGINT AS p{d}" for d in (14, 30, 90))}
+  FROM titles t LEFT JOIN days d ON d.appid = t.appid GROUP BY t.appid)
+SELECT appid, nullif(n14, 0) AS first_total, nullif(n30, 0) AS second_total, nullif(n90, 0) AS third_total, CASE WHEN n14 > 0 THEN round_even(100.0::DOUBLE * p14 / n14, 1) END AS positive_pct, CASE WHEN n14 > 0 AND n90 > 0 THEN n90::DOUBLE / n14::DOUBLE END AS retention FROM w""")
+def store_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, M1, M2 with a store's own windows, of 14, 30 and 90 days."""
+    totals = windows.window_totals(logical.titles(spark, sf_dir), windows.daily(logical.reviews(spark, sf_dir)))
+    second = totals.filter("window_key = 'launch_1m'").select("appid", F.nullif("review_total", F.lit(0)).alias("second_total"))
+    return windows.launch_summary(totals).join(second, "appid").select("appid", "first_total", "second_total", "third_total", "positive_pct", "retention")
+
+
 @query(f"""{BASE} SELECT k AS window_key, count(*)::BIGINT AS n, sum(v)::BIGINT AS reviews FROM (
   SELECT 'launch_2w' AS k, n1 AS v FROM win JOIN titles USING (appid) WHERE store_date + 365 <= DATE '2001-06-30' UNION ALL SELECT 'launch_1m', n2 FROM win JOIN titles USING (appid) WHERE store_date + 730 <= DATE '2001-06-30'
   UNION ALL SELECT 'launch_3m', n3 FROM win JOIN titles USING (appid) WHERE store_date + 1095 <= DATE '2001-06-30' UNION ALL SELECT 'lifetime', n4 FROM win) GROUP BY k""")
@@ -202,11 +238,26 @@ def corpus_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{SCORED} SELECT CASE WHEN percentile IS NULL THEN 'not_ranked' ELSE 'fell_short' END AS reason, count(*)::BIGINT AS titles, min(store_date) AS first_date, max(store_date) AS last_date
 FROM final WHERE expected IS NULL AND predicted IS NULL GROUP BY ALL""")
 def research_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unlabelled titles that the rubric leaves open, by reason."""
+    """Unlabelled titles that the rubric leaves open, by reason."""
     rows = scored(spark, sf_dir).filter("expected is null and predicted is null")
     return rows.groupBy(F.when(F.col("percentile").isNull(), "not_ranked").otherwise("fell_short").alias("reason")).agg(F.count("*").alias("titles"), F.min("store_date").alias("first_date"), F.max("store_date").alias("last_date"))
 
 
+QUEUED = f"{SCORED} SELECT appid, store_date, unresolved AS reason, {TOLD} AS detail FROM final WHERE expected IS NULL AND predicted IS NULL AND first_total IS NOT NULL"
+
+
+@query(QUEUED)
+def research_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue itself, by date, with the reason and the numbers behind it."""
+    return queues.research(scored(spark, sf_dir))
+
+
+@query(f"{QUEUED} ORDER BY store_date, appid LIMIT {queues.SELECTED}")
+def research_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first titles of the queue, as a run without arguments takes them."""
+    return queues.selected(queues.research(scored(spark, sf_dir)))
+
+
 @query(f"""{SCORED}, b AS (SELECT *, CASE WHEN positive_pct < 50 THEN '<50' WHEN positive_pct < 60 THEN '50-59' WHEN positive_pct < 70 THEN '60-69' WHEN positive_pct < 78 THEN '70-77' ELSE '78+' END AS band FROM final)
 SELECT band, count(*)::BIGINT AS titles, count(predicted)::BIGINT AS resolved FROM b GROUP BY band""")
 def coverage_by_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:

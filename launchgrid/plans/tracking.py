@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +9,10 @@ from launchgrid.functions.dates import is_stale
 from launchgrid.functions.measures import loose_int, next_lifecycle, status_badge
 from launchgrid.operators import snapshots
 from launchgrid.plans.registry import query
+from launchgrid.schemas import Windows
 from launchgrid.sources import curated, landed, logical
-from launchgrid.sources.logical import POLLS
+from launchgrid.sources.logical import POLLS, REVIEWS, TITLES
+from launchgrid.sources.shared import new_folder
 from launchgrid.streaming import polls as streams
 
 P = f"WITH {POLLS.strip()}"
@@ -176,16 +176,6 @@ def _stream(spark: SparkSession, sf_dir: str, shaped) -> DataFrame:
     return shaped(raw)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _polls_of(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     raw = F.when(kind == "view", "Nov 12, 2026").when(kind == "click", "Mar 4, 2027").when(kind == "purchase", "Q4 2026").when(kind == "error", F.lit(None).cast("string")).otherwise("Coming soon")
@@ -199,7 +189,7 @@ def stream_date_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, streams.ROCKSDB)
     try:
-        out = _folder(spark, "changes")
+        out = new_folder(spark, "changes")
         streams.run_to_table(streams.date_changes(_stream(spark, sf_dir, _polls_of)), f"{out}/rows", f"{out}/state")
     finally:
         spark.conf.set(key, before)
@@ -214,7 +204,7 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set(key, streams.ROCKSDB)
     shaped = lambda e: e.select(F.col("user_id").alias("appid"), F.col("ts").alias("captured_at"), (F.col("event_type") != "purchase").alias("coming_soon"), F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("tier "), (F.col("event_id") % 3).cast("string"))).alias("predicted"))
     try:
-        out = _folder(spark, "lifecycle")
+        out = new_folder(spark, "lifecycle")
         streams.run_to_table(streams.lifecycle(_stream(spark, sf_dir, shaped)), f"{out}/rows", f"{out}/state", "update")
     finally:
         spark.conf.set(key, before)
@@ -225,7 +215,7 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{P} SELECT appid, captured_at::DATE AS day, count(*)::BIGINT AS polls, max(players) AS peak_players, sum(players)::BIGINT AS sum_players FROM polls WHERE captured_at::DATE < (SELECT (max(captured_at) - INTERVAL 1 DAY)::DATE FROM polls) GROUP BY ALL")
 def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1, ST4: days that the watermark has closed, of polls taken once each."""
-    out = _folder(spark, "rollup")
+    out = new_folder(spark, "rollup")
     stream = _stream(spark, sf_dir, _polls_of)
     stream = stream.withColumn("captured_at", F.col("captured_at").cast("timestamp"))
     days = streams.daily_rollup(streams.distinct_polls(stream), late=None)
@@ -236,9 +226,28 @@ def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{P} SELECT appid, max(captured_at) AS captured_at, arg_max(players, captured_at) AS players FROM polls GROUP BY appid")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST6: each title's last row, kept by upserts."""
-    out = _folder(spark, "latest")
+    out = new_folder(spark, "latest")
     stream = _stream(spark, sf_dir, lambda e: _polls_of(e).select("appid", "captured_at", "players"))
-    query_ = streams.upsert_latest(stream, f"{out}/rows", f"{out}/state")
-    query_.awaitTermination()
-    last = query_.lastProgress["batchId"] if query_.lastProgress else 0
-    return spark.read.parquet(f"{out}/rows/v{last}")
+    streams.upsert_latest(stream, f"{out}/rows", f"{out}/state").awaitTermination()
+    return streams.current(spark, f"{out}/rows", stream.schema).drop("bucket")
+
+
+@query(f"""WITH {TITLES.strip()},{REVIEWS}, mark AS (SELECT max(day) - 1 AS day FROM days),
+w AS (SELECT t.appid, store_date, {', '.join(f"sum(CASE WHEN day < store_date + {d} THEN n ELSE 0 END)::BIGINT AS n{d}, sum(CASE WHEN day < store_date + {d} THEN positive ELSE 0 END)::BIGINT AS p{d}" for d in (30, 60, 90))}
+  FROM titles t JOIN days d ON d.appid = t.appid AND day >= store_date AND day < store_date + 90 GROUP BY ALL)
+SELECT appid, k AS window_key, ends::TIMESTAMP AS window_end, n AS review_total, p AS review_positive FROM (SELECT appid, 'launch_2w' AS k, store_date + 30 AS ends, n30 AS n, p30 AS p FROM w UNION ALL SELECT appid, 'launch_1m', store_date + 60, n60, p60 FROM w UNION ALL SELECT appid, 'launch_3m', store_date + 90, n90, p90 FROM w), mark WHERE ends <= mark.day""")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5, ST7: launch windows of 30, 60 and 90 days from a stream of reviews, each given when it has elapsed, kept by title and window."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, streams.ROCKSDB)
+    try:
+        out = new_folder(spark, "windows")
+        lines = spark.readStream.schema(logical.read(spark, sf_dir, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+        reviews = lines.select(F.col("l_orderkey").alias("appid"), F.to_date("l_shipdate").cast("timestamp").alias("at"), F.col("l_quantity").cast("bigint").alias("weight"), F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("bigint")).otherwise(0).alias("positive"))
+        starts = logical.titles(spark, sf_dir).select("appid", F.col("store_date").cast("timestamp").alias("start"))
+        windows = streams.launch_windows(reviews, starts, Windows(30, 60, 90))
+        streams.keep_windows(windows, f"{out}/rows", f"{out}/state").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return streams.current(spark, f"{out}/rows", windows.schema).drop("bucket")

@@ -26,11 +26,11 @@ FEATURES = (
     "price_vs_going_rate", "launch_price_usd", "budget_tier_aaa", "platform_count", "has_prelaunch_demo",
     "launch_day_dlc_count", "release_month", "cohort_year",
 )
-POST_LAUNCH = frozenset(
-    "review_total review_positive review_negative positive_pct review_score_desc volume_percentile retention_ratio "
-    "peak_concurrent_players studio_signal support_signal studio_outcome post_launch_support post_launch_dlc_count "
-    "last_dlc_days_after_launch resolved_outcome label_confidence metacritic_score".split()
-)
+POST_LAUNCH = frozenset((
+    "review_total", "review_positive", "review_negative", "positive_pct", "review_score_desc", "volume_percentile", "retention_ratio",
+    "peak_concurrent_players", "studio_signal", "support_signal", "studio_outcome", "post_launch_support", "post_launch_dlc_count",
+    "last_dlc_days_after_launch", "resolved_outcome", "label_confidence", "metacritic_score",
+))
 
 # The columns of a curated file, in order.
 CURATED_COLUMNS = (

@@ -72,6 +72,11 @@ def read_table(spark: SparkSession, url: str, table: str, key: str | None = None
     return reader.load()
 
 
+def write_table(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000) -> None:
+    """Rows put into a relational table, a connection a partition."""
+    df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).mode(mode).save()
+
+
 def as_json(report: DataFrame) -> DataFrame:
     """Each row of a report as one JSON text."""
     return report.select(F.to_json(F.struct(*report.columns)).alias("json"))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from launchgrid.operators.snapshots import described_changes
+from launchgrid.schemas import WINDOW_KEYS, Windows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 64
 
 
 def read_polls(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -29,22 +33,24 @@ def distinct_polls(polls: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 class _Changes(StatefulProcessor):
-    """Keeps each title's last announced text; a row out for each change from a text."""
+    """Keeps each title's last announced text and when it was seen; a row out for each change from a text."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at timestamp, raw string, seen boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("captured_at")
         seen = self.last.exists()
         at, raw = self.last.get()[:2] if seen else (None, None)
         out = []
-        for r in batch.itertuples():
+        for r in pd.concat(list(rows)).sort_values("captured_at").itertuples():
+            if seen and r.captured_at <= pd.Timestamp(at):
+                continue  # older than what is known, or the same poll again
             new = None if r.raw is None or pd.isna(r.raw) else r.raw
             if seen and raw is not None and new != raw:
                 out.append((key[0], r.captured_at, raw, new))
             raw, seen, at = new, True, r.captured_at
-        self.last.update((pd.Timestamp(at).to_pydatetime(), raw, True))
+        if seen:
+            self.last.update((pd.Timestamp(at).to_pydatetime(), raw, True))
         yield pd.DataFrame(out, columns=["appid", "observed_at", "previous_raw", "new_raw"])
 
     def close(self) -> None:
@@ -54,7 +60,8 @@ class _Changes(StatefulProcessor):
 def date_changes(polls: DataFrame) -> DataFrame:
     """The stream twin of snapshots.date_changes: one event per change of the announced date.
 
-    Needs the RocksDB state store provider (ROCKSDB). Rows of a batch are put in order per title.
+    Needs the RocksDB state store provider (ROCKSDB). Rows of a batch are put in order per title; a
+    poll that comes in a later batch than a newer one of its title is late and changes nothing.
     """
     slim = polls.select("appid", "captured_at", "raw")
     changes = slim.groupBy("appid").transformWithStateInPandas(_Changes(), outputStructType="appid long, observed_at timestamp, previous_raw string, new_raw string", outputMode="Append", timeMode="None")
@@ -116,20 +123,118 @@ def elapsed_windows(reviews: DataFrame, starts: DataFrame, days: int, late: str
     return inside.groupBy(day, "appid", end.alias("window_end")).agg(F.sum("weight").alias("review_total")).select("appid", F.to_date("window.start").alias("day"), "window_end", "review_total")
 
 
-def upsert_latest(polls: DataFrame, path: str, checkpoint: str, key: str = "appid", at: str = "captured_at") -> StreamingQuery:
-    """Keep each title's last row in a table at ``path``: a run replaces the table by a new version.
+WINDOW_ROW = "appid long, window_key string, window_end timestamp, review_total long, review_positive long"
+
+
+class _Windows(StatefulProcessor):
+    """Sums a title's reviews by window; a window goes out once, when the watermark has passed its end."""
+
+    def __init__(self, lengths: dict[str, int]):
+        self.lengths = lengths
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getMapState("sums", "window_key string", "window_end timestamp, n long, positive long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        start = batch.start.iloc[0]
+        new = not self.sums.exists()
+        for name, days in self.lengths.items():
+            end = start + pd.Timedelta(days=days)
+            inside = batch[batch["at"] < end]
+            if new:
+                self.handle.registerTimer(_millis(end))
+                self.sums.updateValue((name,), (end.to_pydatetime(), int(inside.weight.sum()), int(inside.positive.sum())))
+            elif self.sums.containsKey((name,)):
+                _, n, positive = self.sums.getValue((name,))
+                self.sums.updateValue((name,), (end.to_pydatetime(), n + int(inside.weight.sum()), positive + int(inside.positive.sum())))
+        yield pd.DataFrame({c: [] for c in ("appid", "window_key", "window_end", "review_total", "review_positive")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for (name,), (end, n, positive) in list(self.sums.iterator()):
+            if _millis(pd.Timestamp(end)) <= now:
+                out.append((key[0], name, pd.Timestamp(end), n, positive))
+        for _, name, *_ in out:
+            self.sums.removeKey((name,))
+        yield pd.DataFrame(out, columns=["appid", "window_key", "window_end", "review_total", "review_positive"])
+
+    def close(self) -> None:
+        pass
+
 
-    Versions are folders named by batch, so a batch that runs again writes the same folder.
+def _millis(at: pd.Timestamp) -> int:
+    return int(at.tz_localize("UTC").timestamp() * 1000) if at.tzinfo is None else int(at.timestamp() * 1000)
+
+
+def launch_windows(reviews: DataFrame, starts: DataFrame, windows: Windows = Windows(), late: str = "1 day") -> DataFrame:
+    """(appid, window_key, window_end, review_total, review_positive): each title's launch windows, each
+    given once, when it has fully elapsed; never a window that still runs.
+
+    ``reviews``: appid, at, weight, positive (weight of the positive ones), a stream; ``starts``: appid,
+    start (timestamp), a static table. Reviews outside the longest window are left out before any state;
+    a title keeps three sums. Reviews behind the watermark are late: replaced_windows makes good for them.
+    Needs the RocksDB state store provider (ROCKSDB), and UTC as the session's time zone.
+    """
+    lengths = dict(zip(WINDOW_KEYS, (windows.first, windows.second, windows.third), strict=False))
+    end = F.col("start") + F.make_dt_interval(F.lit(max(lengths.values())))
+    inside = reviews.withWatermark("at", late).join(starts.select("appid", "start"), "appid").filter((F.col("at") >= F.col("start")) & (F.col("at") < end))
+    return inside.select("appid", "at", "start", "weight", "positive").groupBy("appid").transformWithStateInPandas(_Windows(lengths), outputStructType=WINDOW_ROW, outputMode="Append", timeMode="EventTime")
+
+
+def put(rows: DataFrame, path: str, epoch: int, key: str, at: str | None = None, buckets: int = BUCKETS, also: tuple[str, ...] = ()) -> None:
+    """Put ``rows`` over the table at ``path``: a key's (and ``also``'s) row of the greatest ``at`` stays, or the new one.
+
+    The table is dealt into buckets by key. Only buckets that ``rows`` touch are written again, into a
+    folder named by epoch, so a batch that runs again writes the same folder; ``current`` reads each
+    bucket's last one.
     """
+    spark = rows.sparkSession
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r.bucket for r in placed.select("bucket").distinct().collect()]  # at most ``buckets``
+    before = current(spark, path, rows.schema, epoch, touched)
+    order = F.struct(F.col(at), F.col("_new")) if at else F.col("_new")
+    both = placed.withColumn("_new", F.lit(1)).unionByName(before.withColumn("_new", F.lit(0)))
+    keys = (key, *also)
+    rest = [c for c in rows.columns if c not in keys]
+    last = both.groupBy(*keys, "bucket").agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "bucket", *(F.col(f"_r.{c}").alias(c) for c in rest))
+    last.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """A table that ``put`` keeps, with its bucket: of each bucket the last epoch, or the last one ``before``."""
+    kind = T.StructType([*schema, T.StructField("epoch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    try:
+        rows = spark.read.schema(kind).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], T.StructType([*schema, kind["bucket"]]))
+        raise
+    if before is not None:
+        rows = rows.filter(F.col("epoch") < before)
+    if buckets is not None:
+        rows = rows.filter(F.col("bucket").isin(*buckets))
+    last = rows.groupBy("bucket").agg(F.max("epoch").alias("epoch"))  # a row a bucket
+    return rows.join(F.broadcast(last), ["bucket", "epoch"], "left_semi").select(*schema.names, "bucket")
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c != key]
-        before = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}") if epoch else batch.limit(0)
-        last = batch.unionByName(before).groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
-        last.write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
-    return polls.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_latest(polls: DataFrame, path: str, checkpoint: str, key: str = "appid", at: str = "captured_at") -> StreamingQuery:
+    """Keep each title's last row in a table at ``path``, which ``current`` reads."""
+    return polls.writeStream.foreachBatch(lambda batch, epoch: put(batch, path, epoch, key, at)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep launch_windows' rows in a table at ``path``, one a title and window."""
+    return windows.writeStream.foreachBatch(lambda batch, epoch: put(batch, path, epoch, "appid", also=("window_key",))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replaced_windows(recomputed: DataFrame, path: str, epoch: int) -> None:
+    """Put windows that a batch run worked out anew, late reviews included, over those at ``path``.
+
+    ``epoch`` must be above those of the stream that wrote there.
+    """
+    put(recomputed, path, epoch, "appid", also=("window_key",))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -221,5 +221,59 @@ def test_models_are_served_and_kept_only_when_earned(spark, tmp_path):
     assert {(r.method, r.predicted, r.confidence) for r in by_rule} == {("rule", 0, "low")}
     facts = spark.createDataFrame([(80,)], "n_rows int")
     row = spark.createDataFrame([(False,), (True,)], "passes boolean").collect()
-    assert not training.write_if_earned(model, row[0], facts, str(tmp_path / "m")) and not (tmp_path / "m").exists()
-    assert training.write_if_earned(model, row[1], facts, str(tmp_path / "m")) and (tmp_path / "m" / "facts").exists()
+    path = str(tmp_path / "m")
+    assert not training.write_if_earned(model, row[0], facts, path) and not (tmp_path / "m").exists() and training.in_service(spark, path) is None
+    assert training.write_if_earned(model, row[1], facts, path) and (tmp_path / "m" / "facts").exists()
+    again, told = training.in_service(spark, path)
+    assert told.n_rows == 80 and sorted(map(str, again.transform(m).collect())) == sorted(map(str, model.transform(m).collect()))
+    constant = training.OrdinalTrees(trees=1).fit(m.filter("outcome = 'flop'"))
+    assert training.write_if_earned(constant, row[1], facts, path) and training.in_service(spark, path)[0].cuts == [0.0, 0.0, 0.0]
+    # A refused run leaves no stale model in service.
+    assert not training.write_if_earned(model, row[0], facts, path) and training.in_service(spark, path) is None
+
+
+def test_label_fingerprint_is_that_of_the_sorted_pairs(spark):
+    import hashlib
+    import json
+
+    labels = [(30, "flop"), (4, "success"), (100, "breakout"), (7, "flop")]
+    want = f"4:{hashlib.sha256(json.dumps(sorted(labels)).encode()).hexdigest()[:16]}"
+    df = spark.createDataFrame(labels, "appid long, outcome string")
+    assert forecast.label_fingerprint(df).first() == (4, want)
+    sums = forecast.label_fingerprint(df, 3).first().fingerprint
+    assert sums == forecast.label_fingerprint(df.orderBy("outcome"), 3).first().fingerprint and sums.endswith(":sums")
+    assert sums != forecast.label_fingerprint(df.filter("appid > 4").union(spark.createDataFrame([(4, "flop")], df.schema)), 3).first().fingerprint
+
+
+def test_folds_are_even_and_follow_the_key(spark):
+    rows = spark.range(400).select(F.col("id").alias("appid"), F.element_at(F.array(*map(F.lit, ("flop", "underperform", "success", "breakout"))), (F.col("id") % 4 + 1).cast("int")).alias("outcome"))
+    got = forecast.folds(rows, repeats=3)
+    assert got.groupBy("repeat", "outcome", "fold").count().filter("count <> 20").count() == 0 and got.count() == 1200
+    import hashlib
+
+    by = sorted(range(0, 400, 4), key=lambda i: hashlib.md5(f"{i}:1".encode()).hexdigest())
+    assert {r.appid: r.fold for r in got.filter("repeat = 1 and outcome = 'flop'").collect()} == {i: k % 5 for k, i in enumerate(by)}
+
+
+def test_relational_tables_are_written_and_read_in_parallel(spark):
+    from launchgrid.sources import curated
+
+    url = "jdbc:derby:memory:launches;create=true"
+    df = spark.createDataFrame([(i, f"Title {i}", None if i % 3 else i * 1.5) for i in range(50)], "appid long, name string, price double")
+    curated.write_table(df, url, "titles", "overwrite")
+    curated.write_table(df.filter("appid < 5").withColumn("appid", F.col("appid") + 100), url, "titles")
+    whole, parts = curated.read_table(spark, url, "titles"), curated.read_table(spark, url, "titles", "appid", 0, 110, 4)
+    assert whole.count() == 55 and parts.rdd.getNumPartitions() == 4
+    low = lambda d: sorted(tuple(r) for r in d.toDF("appid", "name", "price").filter("price is not null").collect())
+    assert low(whole) == low(parts) and len(low(parts)) == 19
+
+
+def test_queues(spark):
+    from launchgrid.operators import queues
+
+    rows = [(1, "2020-05-01", None, "day_one_steam", "closed", "sustained"), (2, "2020-01-01", 999, "delayed_port", "unknown", "sustained"), (3, None, None, "unknown", "grew", "curtailed"), (4, "2019-01-01", None, "unknown", "grew", "unknown")]
+    t = spark.createDataFrame(rows, "appid long, store_date string, launch_price_cents int, launch_type string, studio string, support string").withColumn("store_date", F.to_date("store_date"))
+    ids = lambda d: [r.appid for r in d.collect()]
+    assert ids(queues.missing_prices(t)) == [3, 4, 1] and ids(queues.answered(t)) == [3, 1]
+    assert sorted(ids(queues.probe_scope(t))) == [1, 4] and sorted(ids(queues.probe_scope(t, True))) == [1, 2, 4] and ids(queues.probe_scope(t, True, t.filter("appid = 2"))) == [2]
+    assert ids(queues.selected(t, 2)) == [3, 4] and len(ids(queues.selected(t, None))) == 4 and sorted(ids(queues.selected(t, 1, t.filter("appid in (1, 2, 9)")))) == [1, 2]

@@ -66,3 +66,50 @@ def test_the_first_forecast_stays(spark, tmp_path, rocksdb):
     polls.run_to_table(polls.lifecycle(stream), str(tmp_path / "out"), str(tmp_path / "state"), "update")
     got = snapshots.latest(spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out")).select("appid", "state", "predicted", "epoch"), at="epoch").first()
     assert (got.state, got.predicted) == ("tracking", "success")
+
+
+def test_late_polls_change_nothing(spark, tmp_path, rocksdb):
+    day = lambda d: T(2026, 1, d)
+    schema = "appid long, captured_at timestamp, raw string"
+    batches = [[(1, day(1), "Nov 12, 2026"), (2, day(1), "Q4 2026")], [(1, day(5), "Mar 4, 2027")], [(1, day(3), "Q4 2026"), (2, day(1), "Q4 2026")], [(1, day(6), "Mar 4, 2027"), (2, day(2), "Coming soon")]]
+    path = str(tmp_path / "in")
+    for k, rows in enumerate(batches):  # each landed and read before the next, the third one behind
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = polls.read_polls(spark, path, spark.createDataFrame([], schema).schema)
+        polls.run_to_table(polls.date_changes(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted((r.appid, r.observed_at.day, r.previous_raw, r.new_raw) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 5, "Nov 12, 2026", "Mar 4, 2027"), (2, 2, "Q4 2026", "Coming soon")]
+
+
+def test_launch_windows_go_out_once_when_elapsed_and_are_replaced_by_a_rerun(spark, tmp_path, rocksdb):
+    schema = "appid long, at timestamp, weight long, positive long"
+    starts = spark.createDataFrame([(1, T(2026, 1, 1)), (2, T(2026, 1, 20))], "appid long, start timestamp")
+    path, table = str(tmp_path / "in"), str(tmp_path / "table")
+    kind = spark.createDataFrame([], schema).schema
+    seen = []
+    for k, days in enumerate([(2, 10), (16, 18), (25, 40), (100,)]):
+        rows = [(1, T(2026, 1, 1) + datetime.timedelta(days=d), 10, 4) for d in days] + [(2, T(2026, 1, 21), 1, 1)] * (k == 2)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        windows = polls.launch_windows(polls.read_polls(spark, path, kind), starts)
+        polls.keep_windows(windows, table, str(tmp_path / "state")).awaitTermination()
+        now = polls.current(spark, table, windows.schema)
+        seen.append({(r.appid, r.window_key): (r.review_total, r.review_positive) for r in now.collect()})
+    assert seen[0] == {} and seen[1] == {(1, "launch_2w"): (20, 8)}
+    assert seen[2] == seen[1] | {(1, "launch_1m"): (50, 20)}
+    assert seen[3] == seen[2] | {(1, "launch_3m"): (60, 24), (2, "launch_2w"): (1, 1), (2, "launch_1m"): (1, 1)}
+    late = spark.createDataFrame([(1, "launch_2w", T(2026, 1, 15), 25, 9)], polls.WINDOW_ROW)
+    polls.replaced_windows(late, table, 1000)
+    after = {(r.appid, r.window_key): (r.review_total, r.review_positive) for r in polls.current(spark, table, windows.schema).collect()}
+    assert after == seen[3] | {(1, "launch_2w"): (25, 9)}
+
+
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "appid long, captured_at timestamp, players long"
+    rows = lambda xs: spark.createDataFrame(xs, schema)
+    first = rows([(i, T(2026, 1, 2), i) for i in range(100)])
+    polls.put(first, path, 0, "appid", "captured_at", 16)
+    polls.put(rows([(3, T(2026, 1, 3), 30), (4, T(2026, 1, 1), 40)]), path, 1, "appid", "captured_at", 16)
+    polls.put(rows([(3, T(2026, 1, 3), 30), (4, T(2026, 1, 1), 40)]), path, 1, "appid", "captured_at", 16)  # the batch again
+    assert len(list((tmp_path / "t" / "epoch=0").glob("bucket=*"))) == 16 and len(list((tmp_path / "t" / "epoch=1").glob("bucket=*"))) <= 2
+    got = {r.appid: r.players for r in polls.current(spark, path, first.schema).collect()}
+    assert got == {i: i for i in range(100)} | {3: 30}
