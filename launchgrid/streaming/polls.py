@@ -129,6 +129,8 @@ WINDOW_ROW = "appid long, window_key string, window_end timestamp, review_total
 class _Windows(StatefulProcessor):
     """Sums a title's reviews by window; a window goes out once, when the watermark has passed its end."""
 
+    COLUMNS = ("appid", "window_key", "window_end", "review_total", "review_positive")
+
     def __init__(self, lengths: dict[str, int]):
         self.lengths = lengths
 
@@ -149,7 +151,7 @@ class _Windows(StatefulProcessor):
             elif self.sums.containsKey((name,)):
                 _, n, positive = self.sums.getValue((name,))
                 self.sums.updateValue((name,), (end.to_pydatetime(), n + int(inside.weight.sum()), positive + int(inside.positive.sum())))
-        yield pd.DataFrame({c: [] for c in ("appid", "window_key", "window_end", "review_total", "review_positive")})
+        yield pd.DataFrame([], columns=list(self.COLUMNS))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
@@ -158,7 +160,7 @@ class _Windows(StatefulProcessor):
                 out.append((key[0], name, pd.Timestamp(end), n, positive))
         for _, name, *_ in out:
             self.sums.removeKey((name,))
-        yield pd.DataFrame(out, columns=["appid", "window_key", "window_end", "review_total", "review_positive"])
+        yield pd.DataFrame(out, columns=list(self.COLUMNS))
 
     def close(self) -> None:
         pass
@@ -191,7 +193,7 @@ def put(rows: DataFrame, path: str, epoch: int, key: str, at: str | None = None,
     bucket's last one.
     """
     spark = rows.sparkSession
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()  # a stateful batch runs once
     touched = [r.bucket for r in placed.select("bucket").distinct().collect()]  # at most ``buckets``
     before = current(spark, path, rows.schema, epoch, touched)
     order = F.struct(F.col(at), F.col("_new")) if at else F.col("_new")
@@ -199,7 +201,9 @@ def put(rows: DataFrame, path: str, epoch: int, key: str, at: str | None = None,
     keys = (key, *also)
     rest = [c for c in rows.columns if c not in keys]
     last = both.groupBy(*keys, "bucket").agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "bucket", *(F.col(f"_r.{c}").alias(c) for c in rest))
-    last.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+    if touched:
+        last.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+    placed.unpersist()
 
 
 def current(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
