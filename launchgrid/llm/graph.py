@@ -54,7 +54,7 @@ def _with_least(rows: DataFrame, key: str, value: str, hub: int) -> DataFrame:
     A key of ``hub`` rows or more would send them all to one task: such keys are at most
     HUBS, so their least values are broadcast and their rows stay where they are.
     """
-    least = written(rows.groupBy(key).agg(F.least(key, F.min(value)).alias("m"), F.count("*").alias("n")), "least")
+    least = rows.groupBy(key).agg(F.least(key, F.min(value)).alias("m"), F.count("*").alias("n"))
     known = rows.join(F.broadcast(least.filter(F.col("n") >= hub).select(key, "m")), key, "left")
     return known.filter("m is not null").unionByName(known.filter("m is null").drop("m").join(least.filter(F.col("n") < hub).select(key, "m"), key))
 
