@@ -248,7 +248,7 @@ def gbt_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLlib's trees per cut, fitted to all labelled titles and applied to titles not out."""
     rows = wide(spark, sf_dir)
     matrix = forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir))
-    model = training.OrdinalTrees().fit(matrix)
+    model = training.OrdinalTrees(trees=20).fit(matrix)
     live = live_features(spark, sf_dir).withColumn("imputed", F.split("imputed", ","))
     return training.served(live, forecasts(spark, sf_dir), model, matrix.count())
 
