@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from launchgrid.llm import bitslice, bpe, fingerprint, html, lines, lmscore, neardup, packing, pii, quality, repair, secrets, trie
+from launchgrid.llm import bitslice, bpe, conversation_sql, fingerprint, html, lines, lmscore, neardup, packing, pii, quality, repair, secrets, trie
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,4 +133,6 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op12_conversation_repair": conversation_sql.REPAIR,
+    "op13_prefix_trie": conversation_sql.TRIE,
 }
