@@ -1,7 +1,8 @@
 """Ranks, medians and going rates inside rolling year cohorts.
 
-A year has few values and very many titles, so titles are first counted per (year, value); the
-counts, not the titles, are spread to neighbouring years and summed up in order.
+Titles are first counted per (year, value); the counts, not the titles, are spread to neighbouring years and
+summed up in order. A year may have very many values, so its sums run in two levels, over buckets of WIDTH
+neighbouring values and within each.
 """
 
 from __future__ import annotations
@@ -9,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from launchgrid.operators.running import running
 from launchgrid.schemas import Cohort
 
+WIDTH = 1024
+
 
 def pooled(reference: DataFrame, cohort: Cohort = Cohort()) -> DataFrame:
     """(cohort_year, value, n): values of the years within ``span`` of each year."""
@@ -19,6 +23,11 @@ def pooled(reference: DataFrame, cohort: Cohort = Cohort()) -> DataFrame:
     return counts.select(years.alias("cohort_year"), "value", "n").groupBy("cohort_year", "value").agg(F.sum("n").alias("n"))
 
 
+def in_order(counts: DataFrame, width: float = WIDTH) -> DataFrame:
+    """``counts`` (cohort_year, value, n) with ``upto`` and ``size``: titles up to a value, and of the year."""
+    return running(counts, ["cohort_year"], "value", F.floor(F.col("value") / width), F.col("n")).withColumnRenamed("total", "size")
+
+
 def percentiles(reference: DataFrame, probes: DataFrame, cohort: Cohort = Cohort()) -> DataFrame:
     """``probes`` (appid, cohort_year, value) with cohort_size and percentile (mid-rank, one decimal).
 
@@ -27,9 +36,7 @@ def percentiles(reference: DataFrame, probes: DataFrame, cohort: Cohort = Cohort
     """
     asked = probes.select("cohort_year", "value").filter("cohort_year is not null and value is not null").distinct().withColumn("n", F.lit(0).cast("bigint"))
     counts = pooled(reference, cohort).unionByName(asked).groupBy("cohort_year", "value").agg(F.sum("n").alias("n"))
-    year = Window.partitionBy("cohort_year")
-    upto = year.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select("cohort_year", "value", F.sum("n").over(upto).alias("upto"), "n", F.sum("n").over(year).alias("cohort_size"))
+    ranked = in_order(counts).withColumnRenamed("size", "cohort_size")
     rank = F.when(F.col("cohort_size") >= cohort.least, F.bround(100.0 * (2 * F.col("upto") - F.col("n")) / (2 * F.col("cohort_size")), 1))
     ranked = ranked.select("cohort_year", "value", "cohort_size", rank.alias("percentile"))
     return probes.join(ranked, ["cohort_year", "value"], "left").select("appid", "cohort_year", "value", F.coalesce("cohort_size", F.lit(0)).alias("cohort_size"), "percentile")
@@ -37,9 +44,7 @@ def percentiles(reference: DataFrame, probes: DataFrame, cohort: Cohort = Cohort
 
 def statistics(reference: DataFrame, cohort: Cohort = Cohort()) -> DataFrame:
     """(cohort_year, size, reliable, median): the exact whole median of each pooled year."""
-    year = Window.partitionBy("cohort_year")
-    upto = year.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    c = pooled(reference, cohort).select("cohort_year", "value", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(year).alias("size"))
+    c = in_order(pooled(reference, cohort))
     at = lambda k: F.max(F.when((F.col("upto") - F.col("n") < k) & (F.col("upto") >= k), F.col("value")))
     low, high = F.floor((F.col("size") + 1) / 2), F.floor(F.col("size") / 2) + 1
     out = c.groupBy("cohort_year", "size").agg(at(low).alias("low"), at(high).alias("high"))
@@ -76,11 +81,14 @@ def recent_rates(years: DataFrame, rates: DataFrame, lookback: int = 3) -> DataF
 
 
 def segment_rankability(titles: DataFrame, axes: list[str], least: int = 8) -> DataFrame:
-    """(axis, titles, rankable): how many titles keep a large enough cohort under each extra axis."""
-    out = None
-    for axis in [None, *axes]:
-        keys = ["cohort_year", *([axis] if axis else [])]
-        part = titles.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n").alias("titles"), F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)).alias("rankable"))
-        part = part.select(F.lit(axis or "none").alias("axis"), "titles", "rankable")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(axis, titles, rankable): how many titles keep a large enough cohort under each extra axis.
+
+    One pass: the titles are read once and counted under every axis together.
+    """
+    sets = [[F.col("cohort_year")], *([F.col("cohort_year"), F.col(a)] for a in axes)]
+    bit = F.grouping_id()
+    counts = titles.groupingSets(sets, F.col("cohort_year"), *(F.col(a) for a in axes)).agg(F.count("*").alias("n"), bit.alias("left_out"))
+    every = 2 ** len(axes) - 1
+    names = F.create_map(*(F.lit(x) for k, a in [(every, "none"), *((every - 2 ** (len(axes) - 1 - i), a) for i, a in enumerate(axes))] for x in (k, a)))
+    axis = names[F.col("left_out")].alias("axis")
+    return counts.groupBy(axis).agg(F.sum("n").alias("titles"), F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)).alias("rankable"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ from launchgrid.schemas import DAY_ONE, FEATURES, OUT_OF_SCOPE_GENRES, OUTCOMES,
 LEAST_HISTORY, MOST_WEIGHT, TITLE_WEIGHT, WINDOWS_ONLY = 2, 0.6, 0.2, 1.05
 FOLDS, REPEATS, LEAST_ROWS = 5, 20, 8
 HEAD = 3  # characters of a fold key within which places are counted
-EXACT_LABELS = 100_000
+PIECE_BITS = 12  # of an appid, for pieces of a fingerprint's text
 
 
 def smoothed(counts: list[Column], add: float) -> list[Column]:
@@ -174,18 +178,24 @@ def gate(scores: DataFrame) -> DataFrame:
     return one.select("*", F.coalesce(passes, F.lit(False)).alias("passes"), verdict.alias("verdict"))
 
 
-def label_fingerprint(labelled: DataFrame, most: int = EXACT_LABELS) -> DataFrame:
-    """One row (n, fingerprint): the same for the same labels in any order.
+def label_fingerprint(labelled: DataFrame) -> DataFrame:
+    """One row (n, fingerprint): n and the first 16 digits of the SHA-256 of the sorted (appid, outcome) pairs as JSON.
 
-    Up to ``most`` labels: n, then the first 16 digits of the SHA-256 of the sorted pairs as JSON.
-    Beyond, the pairs are summed up as hashes instead, so no task holds them all; such a fingerprint
-    has a third part, "sums", and equals none of the others.
+    One form for any number of labels. The text is put together in parallel, in pieces of neighbouring appids; as such a
+    digest is worked out from its start to its end, one task then reads the pieces in order and holds one batch of them.
     """
-    pair = F.struct("appid", "outcome")
-    if labelled.count() <= most:
-        written = F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.concat(F.lit("["), x["appid"].cast("string"), F.lit(', "'), x["outcome"], F.lit('"]')))
-        text = F.concat(F.lit("["), F.array_join(written, ", "), F.lit("]"))
-        return labelled.agg(F.count("*").alias("n"), text.alias("text")).select("n", F.concat_ws(":", F.col("n").cast("string"), F.left(F.sha2("text", 256), F.lit(16))).alias("fingerprint"))
-    h = F.xxhash64("appid", "outcome")
-    one = labelled.agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), F.bit_xor(h).alias("b"))
-    return one.select("n", F.concat_ws(":", F.col("n").cast("string"), F.left(F.sha2(F.concat_ws(",", F.col("a").cast("string"), F.col("b").cast("string")), 256), F.lit(16)), F.lit("sums")).alias("fingerprint"))
+    pair = F.struct(F.col("appid").cast("long").alias("appid"), F.col("outcome"))
+    told = F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.concat(F.lit("["), x["appid"].cast("string"), F.lit(', "'), x["outcome"], F.lit('"]')))
+    pieces = labelled.groupBy(F.shiftright(F.col("appid").cast("long"), PIECE_BITS).alias("piece")).agg(F.count("*").alias("n"), F.array_join(told, ", ").alias("text"))
+    start = labelled.sparkSession.range(1).select(F.lit(None).cast("long").alias("piece"), F.lit(0).cast("long").alias("n"), F.lit("").alias("text"))  # so no labels have a digest too
+    return pieces.unionByName(start).repartition(1).sortWithinPartitions("piece").mapInArrow(_digested, "n long, fingerprint string")
+
+
+def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest, n = hashlib.sha256(b"["), 0
+    for batch in batches:
+        for count, text in zip(batch.column("n").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            digest.update((", " if n and count else "").encode() + text.encode())
+            n += count
+    digest.update(b"]")
+    yield pa.RecordBatch.from_pydict({"n": [n], "fingerprint": [f"{n}:{digest.hexdigest()[:16]}"]})

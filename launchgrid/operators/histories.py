@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from launchgrid.functions.text import companies, raw_names
 from launchgrid.schemas import OUTCOMES
+from launchgrid.sources.shared import written
 
 DEFAULT_VOLUME, DEFAULT_POSITIVE = 50.0, 75.0
 RECORD = ("n", "n_pct", "s_pct", "n_pos", "s_pos")
 NO_DAY = 2**31 - 1
 NAMES_TOLD = 3
+HEAVY_LISTS = 200
 
 
 def _two_decimals(tenths: Column, n: Column) -> Column:
@@ -65,30 +67,47 @@ def _as_record(rows: DataFrame) -> DataFrame:
     return rows.select("appid", F.coalesce("r.n", F.lit(0)).alias("title_count"), mean("r.s_pct", "r.n_pct", DEFAULT_VOLUME).alias("mean_volume_pct"), mean("r.s_pos", "r.n_pos", DEFAULT_POSITIVE).alias("mean_positive_pct"), F.col("r").isNotNull().alias("known"))
 
 
-def overlap_records(targets: DataFrame, labelled: DataFrame) -> DataFrame:
+def overlap_records(targets: DataFrame, labelled: DataFrame, heavy_lists: int = HEAVY_LISTS) -> DataFrame:
     """(appid, history, flop, underperform, success, breakout): labelled titles that share a raw
     developer or publisher name with each target, itself excluded, with no date cutoff.
 
-    Counts per set of names are made first, never pairs of titles: by inclusion and exclusion, a
-    target adds up the counts of titles that hold each of its names, takes off those that hold
-    both of a pair of its names, and so on. A title has few names, so few sets.
+    Titles of the same names are alike, so each distinct list of names is counted once, and a pair of lists that meet is
+    counted at the first name they share. A name on over ``heavy_lists`` labelled lists would make too many pairs: lists are first
+    told apart by their heavy names only, which few combinations do, and what shares a heavy name is counted
+    between those combinations. Other pairs meet at a light name, at most ``heavy_lists`` to a list and name. So a title may have
+    any number of names, and a name any number of titles.
     """
-    sets = _name_sets(F.array_distinct(raw_names(F.col("developer"), F.col("publisher"))))
-    outcomes = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
     cols = ("history", *OUTCOMES)
-    # Titles of the same names ask the same, so each distinct list of names is counted once.
-    asked = targets.select("appid", F.array_sort(F.array_distinct(raw_names(F.col("developer"), F.col("publisher")))).alias("names"))
-    per_set = labelled.select(F.explode(sets).alias("names"), "outcome").groupBy("names").agg(F.count("*").alias("history"), *outcomes)
-    lists = asked.filter(F.size("names") > 0).select("names").distinct()
-    parts = lists.select(F.col("names").alias("list"), F.explode(_name_sets(F.col("names"))).alias("names")).join(per_set, "names")
-    sign = F.when(F.size("names") % 2 == 1, 1).otherwise(-1)
-    summed = parts.groupBy("list").agg(*(F.sum(sign * F.col(c)).alias(c) for c in cols))
-    found = asked.join(summed, asked["names"] == summed["list"], "left").select("appid", "names", *cols)
+    names = F.array_sort(F.array_distinct(raw_names(F.col("developer"), F.col("publisher"))))
+    asked = targets.select("appid", names.alias("names"))
+    held = labelled.select(names.alias("names"), "outcome").filter(F.size("names") > 0).groupBy("names").agg(F.count("*").alias("history"), *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES))
+    held = written(held, "name_lists")
+    heavy = written(held.select(F.explode("names").alias("name")).groupBy("name").count().filter(F.col("count") > heavy_lists).select("name"), "heavy_names")
+    lists = written(_with_heavy(asked.filter(F.size("names") > 0).select("names").distinct(), heavy), "name_lists")
+    held = written(_with_heavy(held, heavy), "name_lists")
+
+    def first_shared(a: str, b: str) -> Column:
+        return F.try_element_at(F.array_intersect(a, b), F.lit(1)) == F.col("name")
+
+    combos = lists.filter(F.size("heavy") > 0).select("heavy").distinct().select("heavy", F.explode("heavy").alias("name"))
+    theirs = held.filter(F.size("heavy") > 0).groupBy(F.col("heavy").alias("other")).agg(*(F.sum(c).alias(c) for c in cols)).select("*", F.explode("other").alias("name"))
+    by_combo = combos.join(theirs, "name").filter(first_shared("heavy", "other")).groupBy("heavy").agg(*(F.sum(c).alias(f"h_{c}") for c in cols))
+    light = F.explode(F.array_except("names", "heavy")).alias("name")
+    met = lists.select("names", "heavy", light).join(held.select(*cols, light, F.col("names").alias("other"), F.col("heavy").alias("other_heavy")), "name")
+    met = met.filter(~F.arrays_overlap("heavy", "other_heavy") & first_shared("names", "other")).groupBy("names").agg(*(F.sum(c).alias(f"l_{c}") for c in cols))
+    summed = lists.join(by_combo, "heavy", "left").join(met, "names", "left").select("names", *((F.coalesce(f"h_{c}", F.lit(0)) + F.coalesce(f"l_{c}", F.lit(0))).alias(c) for c in cols))
+    found = asked.join(summed, "names", "left")
     own = labelled.select("appid", F.col("outcome").alias("own"), F.lit(True).alias("counted"))
     itself = lambda c: F.when((F.size("names") > 0) & (F.col("counted") if c == "history" else F.col("own") == c), 1).otherwise(0)
     return found.join(own, "appid", "left").select("appid", *((F.coalesce(c, F.lit(0)) - itself(c)).cast("bigint").alias(c) for c in cols))
 
 
+def _with_heavy(lists: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``lists`` with the heavy ones of their ``names``, in order."""
+    has = lists.select("names", F.explode("names").alias("name")).join(heavy, "name").groupBy("names").agg(F.array_sort(F.collect_list("name")).alias("heavy"))
+    return lists.join(has, "names", "left").withColumn("heavy", F.coalesce("heavy", F.array().cast("array<string>")))
+
+
 def first_names(targets: DataFrame, labelled: DataFrame, most: int = NAMES_TOLD) -> DataFrame:
     """(appid, names): the first ``most`` distinct titles, by name, of each target's overlap history.
 
@@ -103,13 +122,6 @@ def first_names(targets: DataFrame, labelled: DataFrame, most: int = NAMES_TOLD)
     return met.groupBy("appid").agg(F.slice(F.array_sort(F.collect_set("game_name")), 1, most).alias("names"))
 
 
-def _name_sets(names: Column) -> Column:
-    """Every non-empty subset of an array of distinct names, each in order."""
-    none = F.array().cast("array<array<string>>")
-    grown = lambda sets, n: F.concat(sets, F.array(F.array(n)), F.transform(sets, lambda s: F.concat(s, F.array(n))))
-    return F.aggregate(F.array_sort(names), none, grown)
-
-
 def publisher_stats(titles: DataFrame, least_titles: int = 2) -> DataFrame:
     """Aggregates per canonical publisher over all titles (company, title_count, means, years).
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from launchgrid.functions.dates import is_coarse, loose_date
+from launchgrid.sources.shared import last_state, partitions, put_state, remove
+
+AGE, GRACE, REMOVED = 30, 7, "removed"
 
 
 def date_changes(polls: DataFrame) -> DataFrame:
@@ -37,10 +43,12 @@ def latest(series: DataFrame, key: str = "appid", at: str = "captured_at") -> Da
     return series.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("_last")).select(key, *(F.col(f"_last.{c}").alias(c) for c in rest))
 
 
-def recent(series: DataFrame, n: int = 60, key: str = "appid", at: str = "captured_at") -> DataFrame:
-    """Each title's ``n`` last rows (1 to 1000), with their place."""
+def recent(series: DataFrame, n: int = 60, key: str = "appid", at: str = "captured_at", since: datetime.date | None = None) -> DataFrame:
+    """Each title's ``n`` last rows (1 to 1000), with their place; of a series kept by day, only the days from ``since`` on are read."""
     if not 1 <= n <= 1000:
         raise ValueError("n must be from 1 to 1000")
+    if since is not None:
+        series = series.filter(F.col("day") >= F.lit(since))
     order = Window.partitionBy(key).orderBy(F.desc(at))
     return series.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
@@ -50,6 +58,37 @@ def daily_rollup(series: DataFrame) -> DataFrame:
     return series.groupBy("appid", F.to_date("captured_at").alias("day")).agg(F.count("*").alias("polls"), F.max("players").alias("peak_players"), F.sum("players").alias("sum_players"), F.max_by("players", "captured_at").alias("last_players"))
 
 
+def append_days(series: DataFrame, path: str) -> None:
+    """Add snapshots to a series kept by day of capture."""
+    series.withColumn("day", F.to_date("captured_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def roll_up(spark: SparkSession, series: str, rollup: str, today: datetime.date, age: int = AGE, grace: int = GRACE) -> list[datetime.date]:
+    """Roll up the days of ``series`` (kept by day) that are over ``age`` days old into ``rollup``, also by day; the days written.
+
+    A day is written anew, alone, only if its snapshots have changed since it was written last: what a closed day's files looked
+    like is kept beside the rollup, after it. So late snapshots of a day bring its row up to date, a run that broke off is made good
+    by the next, and an unchanged day's file is not touched. Snapshots that are rolled up are kept for ``grace`` more
+    days, then removed. Later ones of a removed day are refused: their day stays as it is.
+    """
+    told = last_state(spark, f"{rollup}/_days")
+    done = json.loads(told[1]) if told else {}
+    found = partitions(spark, series, "day")
+    age_of = {d: (today - datetime.date.fromisoformat(d)).days for d in found if d[:1].isdigit()}
+    due = sorted(d for d, n in age_of.items() if n > age and done.get(d) not in (found[d], REMOVED))
+    if due:
+        rows = spark.read.parquet(series).filter(F.col("day").isin(*map(datetime.date.fromisoformat, due)))
+        daily_rollup(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(rollup)
+        done |= {d: found[d] for d in due}
+        put_state(spark, f"{rollup}/_days", json.dumps(done))
+    spent = [d for d, n in age_of.items() if n > age + grace]
+    if spent:
+        put_state(spark, f"{rollup}/_days", json.dumps(done | dict.fromkeys(spent, REMOVED)))
+        for d in spent:
+            remove(spark, f"{series}/day={d}")
+    return [datetime.date.fromisoformat(d) for d in due]
+
+
 def sudden_drops(series: DataFrame, points: float, value: str = "positive_pct") -> DataFrame:
     """Rows whose value fell by ``points`` or more since the title's row before."""
     order = Window.partitionBy("appid").orderBy("captured_at")

@@ -106,11 +106,57 @@ def silhouette(labelled: DataFrame, block: int = 2000) -> DataFrame:
     return two.agg(F.count("*").alias("n"), F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).alias("silhouette"))
 
 
+def sampled_silhouette(labelled: DataFrame, sample: int, seed: int = 0) -> tuple[float, float, int]:
+    """(mean, standard error, n) of the Euclidean silhouette over ``sample`` publishers, each held against all of them.
+
+    The publishers are those of the least hashes under a seed, so a larger sample has the smaller one in it. All publishers
+    are read once, in blocks; of each block only a sum of distances per sampled publisher and label comes out.
+    """
+    rows = labelled.select("company", "label", vector_to_array("features").alias("v"))
+    n = rows.count()
+    asked = rows.withColumn("h", F.xxhash64(F.lit(seed), "company")).orderBy("h", "company").limit(sample).toPandas()  # at most ``sample`` rows
+    points, own = np.array(asked.v.tolist()), asked.label.to_numpy()
+
+    def distances(batches):
+        for batch in batches:
+            v, labels = np.array(batch.v.tolist()), batch.label.to_numpy()
+            for lab in np.unique(labels):
+                part = v[labels == lab]
+                d = np.zeros(len(points))
+                for k in range(0, len(part), 512):
+                    d += np.sqrt(np.maximum(((points[:, None, :] - part[None, k : k + 512, :]) ** 2).sum(2), 0)).sum(1)
+                yield pd.DataFrame({"k": np.arange(len(points)), "label": int(lab), "d": d, "n": len(part)})
+
+    sums = rows.mapInPandas(distances, "k long, label int, d double, n long").groupBy("k", "label").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).toPandas()
+    mine = sums.label.to_numpy() == own[sums.k]
+    mean = sums.d / np.where(mine, sums.n - 1, sums.n).clip(1)
+    a = pd.Series(np.where(mine & (sums.n > 1), mean, np.nan)).groupby(sums.k).max()
+    b = pd.Series(np.where(mine, np.nan, mean)).groupby(sums.k).min()
+    s = ((b - a) / np.maximum(a, b)).fillna(0.0).to_numpy()
+    left_out = np.sqrt(max(0.0, 1 - len(s) / n)) if n else 0.0  # a sample of all of them has no error
+    return float(s.mean()), float(s.std(ddof=1) / np.sqrt(len(s)) * left_out) if len(s) > 1 else 0.0, n
+
+
+def clears(labelled: DataFrame, bar: float = SILHOUETTE_BAR, sample: int = 1000, sigmas: float = 4.0) -> tuple[bool, float, int]:
+    """(whether the mean silhouette reaches ``bar``, its estimate, publishers sampled).
+
+    A sample is enough where the bar lies ``sigmas`` standard errors off; else it is doubled, up to 8,000, and
+    where that still leaves the bar inside the interval, or the table is no larger than the sample, the exact mean decides.
+    """
+    while sample <= 8000:
+        mean, error, n = sampled_silhouette(labelled, sample)
+        if n <= sample or abs(mean - bar) > sigmas * error:
+            return mean >= bar, mean, min(n, sample)
+        sample *= 2
+    mean = silhouette(labelled).first().silhouette
+    return mean >= bar, mean, n
+
+
 def tier_table(stats: DataFrame, k: int = 3) -> DataFrame:
     """publisher_stats with tier and tier_name, null for all unless the grouping is stable."""
     rows = vectors(stats)
     found = clustered(rows, k)
-    stable = silhouette(found).first().silhouette >= SILHOUETTE_BAR and seed_agreement(rows, k) >= AGREEMENT_BAR
+    stable = clears(found)[0] and seed_agreement(rows, k) >= AGREEMENT_BAR
     placed = found.join(F.broadcast(by_scale(found)), "label")
     none = lambda c, kind: F.col(c) if stable else F.lit(None).cast(kind)
     return placed.select(*stats.columns, none("tier", "int").alias("tier"), none("tier_name", "string").alias("tier_name"))

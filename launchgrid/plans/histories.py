@@ -181,7 +181,7 @@ def live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FOLDS = """
 rows AS (
-  SELECT appid, outcome, r.repeat::INTEGER AS repeat FROM titles, (SELECT unnest(range(3)) AS repeat) r WHERE launch_type = 'day_one_steam' AND outcome IS NOT NULL
+  SELECT appid, outcome, r.repeat::INTEGER AS repeat FROM titles, (SELECT unnest(range(20)) AS repeat) r WHERE launch_type = 'day_one_steam' AND outcome IS NOT NULL
 ), folds AS (
   SELECT *, ((row_number() OVER (PARTITION BY repeat, outcome ORDER BY md5(appid || ':' || repeat), appid) - 1) % 5)::INTEGER AS fold FROM rows
 )"""
@@ -190,12 +190,12 @@ rows AS (
 @query(f"{BASE}, {FOLDS.strip()} SELECT * FROM folds")
 def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6."""
-    return forecast.folds(labelled(spark, sf_dir), repeats=3)
+    return forecast.folds(labelled(spark, sf_dir))
 
 
 def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out rows whose prediction is the rule forecast, with each fold's constants."""
-    assigned = forecast.folds(labelled(spark, sf_dir), repeats=3)
+    assigned = forecast.folds(labelled(spark, sf_dir))
     said = forecasts(spark, sf_dir).select("appid", outcome_rank(F.col("predicted")).alias("predicted"))
     return assigned.join(forecast.fold_constants(assigned), ["repeat", "fold"]).join(said, "appid").select("appid", "repeat", "fold", outcome_rank(F.col("outcome")).alias("actual"), "predicted", "modal", "median")
 
@@ -278,19 +278,21 @@ def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.adjusted_rand(p).withColumn("adjusted_rand", F.round("adjusted_rand", 9))
 
 
-MATCH = "SELECT *, floor(positive_pct / {w}) AS band, row_number() OVER (PARTITION BY cohort_year, floor(positive_pct / {w}) ORDER BY positive_pct, appid) AS place FROM {t}"
-
-
-@query(f"""{WIDE}, rows AS (SELECT appid, cohort_year, positive_pct, percentile FROM wide WHERE launch_type = 'day_one_steam' AND positive_pct >= 78),
-a1 AS (SELECT appid, cohort_year, positive_pct FROM rows WHERE percentile < 35), b1 AS (SELECT appid, cohort_year, positive_pct FROM rows WHERE percentile >= 35),
-p1 AS (SELECT a.appid, b.appid AS control, round_even(abs(a.positive_pct - b.positive_pct), 1) AS gap FROM ({MATCH.format(w=1.0, t='a1')}) a JOIN ({MATCH.format(w=1.0, t='b1')}) b USING (cohort_year, band, place)),
-a2 AS (SELECT * FROM a1 WHERE appid NOT IN (SELECT appid FROM p1)), b2 AS (SELECT * FROM b1 WHERE appid NOT IN (SELECT control FROM p1))
-SELECT * FROM p1 UNION ALL SELECT a.appid, b.appid, round_even(abs(a.positive_pct - b.positive_pct), 1) FROM ({MATCH.format(w=5.0, t='a2')}) a JOIN ({MATCH.format(w=5.0, t='b2')}) b USING (cohort_year, band, place)""")
+@query(f"""{WIDE.replace('WITH ', 'WITH RECURSIVE ', 1)}, near AS (SELECT appid, cohort_year, positive_pct, percentile < 35 AS short FROM wide WHERE launch_type = 'day_one_steam' AND positive_pct >= 78 AND percentile IS NOT NULL AND cohort_year IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY short, cohort_year, positive_pct ORDER BY appid) AS place FROM near),
+cells AS (SELECT short, cohort_year AS y, positive_pct AS s, count(*) AS n, row_number() OVER (PARTITION BY short ORDER BY cohort_year, positive_pct) AS id FROM near GROUP BY short, cohort_year, positive_pct),
+ways AS MATERIALIZED (SELECT a.id AS a, b.id AS b, row_number() OVER (ORDER BY round(abs(a.s - b.s), 1) + abs(a.y - b.y), a.y, a.s, b.y, b.s) AS r FROM cells a JOIN cells b ON a.short AND NOT b.short AND abs(a.y - b.y) <= 1 AND round(abs(a.s - b.s), 1) <= 5),
+flows AS (SELECT 0::BIGINT AS r, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS n, 0::BIGINT AS upto_a, 0::BIGINT AS upto_b, (SELECT list(n ORDER BY id) FROM cells WHERE short) AS left_a, (SELECT list(n ORDER BY id) FROM cells WHERE NOT short) AS left_b UNION ALL
+  SELECT w.r, w.a, w.b, least(left_a[w.a], left_b[w.b]), left_a[w.a], left_b[w.b], list_transform(left_a, lambda x, i: CASE WHEN i = w.a THEN x - least(left_a[w.a], left_b[w.b]) ELSE x END), list_transform(left_b, lambda x, i: CASE WHEN i = w.b THEN x - least(left_a[w.a], left_b[w.b]) ELSE x END)
+  FROM flows JOIN ways w ON w.r = flows.r + 1),
+pairs AS (SELECT a, b, unnest(range(n)) AS k, upto_a, upto_b FROM flows WHERE n > 0),
+ends AS (SELECT c.short, c.id, c.n, p.place, p.appid, p.cohort_year, p.positive_pct FROM placed p JOIN cells c ON c.short = p.short AND c.y = p.cohort_year AND c.s = p.positive_pct)
+SELECT t.appid, c.appid AS control, round(abs(t.positive_pct - c.positive_pct), 1) AS gap, abs(t.cohort_year - c.cohort_year)::INTEGER AS years FROM pairs
+JOIN ends t ON t.short AND t.id = a AND t.place = t.n - upto_a + k + 1 JOIN ends c ON NOT c.short AND c.id = b AND c.place = c.n - upto_b + k + 1""")
 def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that fell short, each with a passing title of its year and sentiment."""
-    rows = wide(spark, sf_dir).filter((F.col("launch_type") == DAY_ONE) & F.col("positive_pct").isNotNull())
-    short = (F.col("percentile") < 35) & (F.col("positive_pct") >= 78)
-    return matching.matched_pairs(rows.filter(short), rows.filter((F.col("percentile") >= 35) & (F.col("positive_pct") >= 78)))
+    """Titles that fell short, each with the passing title nearest in year and sentiment."""
+    rows = wide(spark, sf_dir).filter((F.col("launch_type") == DAY_ONE) & (F.col("positive_pct") >= 78))
+    return matching.matched_pairs(rows.filter("percentile < 35"), rows.filter("percentile >= 35"))
 
 
 @query(f"""{BASE} SELECT a.appid, a.developer AS company, (count(*) - 1)::BIGINT AS nearby FROM titles a JOIN titles b ON a.developer = b.developer AND abs(a.store_date - b.store_date) <= 90 GROUP BY ALL""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from launchgrid.sources import curated, landed, logical
 from launchgrid.sources.logical import POLLS, REVIEWS, TITLES
 from launchgrid.sources.shared import new_folder
 from launchgrid.streaming import polls as streams
+from launchgrid.streaming import upserts
 
 P = f"WITH {POLLS.strip()}"
 DAY = "CASE {} WHEN 'Nov 12, 2026' THEN DATE '2026-11-12' WHEN 'Mar 4, 2027' THEN DATE '2027-03-04' WHEN 'Q4 2026' THEN DATE '2026-10-01' END"
@@ -48,10 +51,19 @@ def recent_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{P} SELECT appid, captured_at::DATE AS day, count(*)::BIGINT AS polls, max(players) AS peak_players, sum(players)::BIGINT AS sum_players, arg_max(players, captured_at) AS last_players FROM polls GROUP BY ALL")
 def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A30."""
+    """ST4 as a batch job: every day."""
     return snapshots.daily_rollup(logical.polls(spark, sf_dir))
 
 
+@query(f"{P} SELECT appid, captured_at::DATE AS day, count(*)::BIGINT AS polls, max(players) AS peak_players, sum(players)::BIGINT AS sum_players, arg_max(players, captured_at) AS last_players FROM polls WHERE DATE '2024-02-15' - captured_at::DATE > 30 GROUP BY ALL")
+def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series kept by day, its days of over 30 days ago rolled up, each in a file of its own."""
+    series, rollup = new_folder(spark, "series"), new_folder(spark, "rollup")
+    snapshots.append_days(logical.polls(spark, sf_dir), series)
+    snapshots.roll_up(spark, series, rollup, datetime.date(2024, 2, 15))
+    return spark.read.parquet(rollup)
+
+
 @query(f"{P}, s AS (SELECT appid, captured_at, players, players - lag(players) OVER (PARTITION BY appid ORDER BY captured_at) AS change FROM polls) SELECT * FROM s WHERE change <= -1500")
 def sudden_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Falls of 1500 players or more from one poll to the next."""
@@ -182,9 +194,9 @@ def _polls_of(e: DataFrame) -> DataFrame:
     return e.select(F.col("user_id").alias("appid"), F.col("ts").alias("captured_at"), F.floor(F.col("value") * 100).cast("bigint").alias("players"), raw.alias("raw"))
 
 
-@query(f"{CHANGES} SELECT appid, observed_at, previous_raw, new_raw, previous_date, new_date, days_moved, coarse, is_delay FROM changes")
+@query(f"{CHANGES} SELECT appid, observed_at, previous_raw, new_raw, previous_date, new_date, days_moved, coarse, is_delay FROM changes WHERE epoch_ms(observed_at) < (SELECT epoch_ms(max(captured_at)) - 86400000 FROM polls)")
 def stream_date_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2: the stream twin of date_change_log, the same rows."""
+    """ST2: the stream twin of date_change_log, the same rows up to the watermark."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, streams.ROCKSDB)
@@ -229,15 +241,15 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "latest")
     stream = _stream(spark, sf_dir, lambda e: _polls_of(e).select("appid", "captured_at", "players"))
     streams.upsert_latest(stream, f"{out}/rows", f"{out}/state").awaitTermination()
-    return streams.current(spark, f"{out}/rows", stream.schema).drop("bucket")
+    return upserts.current(spark, f"{out}/rows", stream.schema)
 
 
 @query(f"""WITH {TITLES.strip()},{REVIEWS}, mark AS (SELECT max(day) - 1 AS day FROM days),
 w AS (SELECT t.appid, store_date, {', '.join(f"sum(CASE WHEN day < store_date + {d} THEN n ELSE 0 END)::BIGINT AS n{d}, sum(CASE WHEN day < store_date + {d} THEN positive ELSE 0 END)::BIGINT AS p{d}" for d in (30, 60, 90))}
-  FROM titles t JOIN days d ON d.appid = t.appid AND day >= store_date AND day < store_date + 90 GROUP BY ALL)
+  FROM titles t LEFT JOIN days d ON d.appid = t.appid AND day >= store_date AND day < store_date + 90 WHERE store_date IS NOT NULL GROUP BY ALL)
 SELECT appid, k AS window_key, ends::TIMESTAMP AS window_end, n AS review_total, p AS review_positive FROM (SELECT appid, 'launch_2w' AS k, store_date + 30 AS ends, n30 AS n, p30 AS p FROM w UNION ALL SELECT appid, 'launch_1m', store_date + 60, n60, p60 FROM w UNION ALL SELECT appid, 'launch_3m', store_date + 90, n90, p90 FROM w), mark WHERE ends <= mark.day""")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST5, ST7: launch windows of 30, 60 and 90 days from a stream of reviews, each given when it has elapsed, kept by title and window."""
+    """ST5, ST7: launch windows of 30, 60 and 90 days from a stream of reviews, those of silent titles too, each given when it has elapsed, kept by title and window."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, streams.ROCKSDB)
@@ -250,4 +262,4 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         streams.keep_windows(windows, f"{out}/rows", f"{out}/state").awaitTermination()
     finally:
         spark.conf.set(key, before)
-    return streams.current(spark, f"{out}/rows", windows.schema).drop("bucket")
+    return upserts.current(spark, f"{out}/rows", windows.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,15 +16,50 @@ PROVENANCE = "knowledge-base"
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """A curated file's columns as trimmed text, null where empty, with a line number.
+    """A curated table's columns as trimmed text, null where empty, with its file and the row's number in it.
+
+    ``path`` may be a file, a folder or a pattern; each file has a header. Raises if one lacks columns. As a reader of one
+    file numbers them, the first row after the header is 2 and blank lines don't count; cells may hold line ends.
 
-    Raises if the header lacks columns. Lines are numbered within the file's rows, in order.
+    Files are read in splits, as text. A line opens a row if the quotes before it in its file are even; quotes and
+    rows are counted in each split, and the few splits of a file summed up in order, so numbers hold for any splits.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    if missing := missing_columns(raw):
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    cells = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) for c in CURATED_COLUMNS]
-    return raw.select(F.monotonically_increasing_id().alias("_row"), *cells).withColumn("line", F.col("_row") + 2).drop("_row")
+    at = F.monotonically_increasing_id().alias("at")  # grows within a split
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), at)
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    sums = lines.groupBy("file", "split").agg(F.sum("quotes").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("open"))
+    earlier = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("own", earlier).join(sums, ["file", "split"]).withColumn("even", (F.col("own") + F.col("open")) % 2 == 0)
+    lines = lines.filter(~F.col("even") | (F.trim("value") != "")).withColumn("opens", F.col("even").cast("long"))
+    starts = lines.groupBy("file", "split").agg(F.sum("opens").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows"))
+    own = F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = lines.withColumn("own", own).join(starts, ["file", "split"]).withColumn("line", F.col("own") + F.col("rows"))
+    told = F.array_sort(F.collect_list(F.struct("split", "at", "value")))
+    rows = numbered.groupBy("file", "line").agg(F.array_join(F.transform(told, lambda x: x["value"]), "\n").alias("text"))
+    heads = rows.filter("line = 1").select("file", "text").collect()  # one a file
+    out = None
+    for header, files in _by_header(heads).items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        if missing := missing_columns(spark.createDataFrame([], schema)):
+            raise ValueError(f"missing columns: {', '.join(missing)}")
+        parsed = rows.filter((F.col("line") > 1) & F.col("file").isin(*files)).select("file", "line", F.from_csv("text", F.lit(schema.simpleString()), {"quote": '"', "escape": '"'}).alias("r"))
+        cells = [F.nullif(F.trim(F.col(f"r.{c}")), F.lit("")).alias(c) for c in CURATED_COLUMNS]
+        part = parsed.select(*cells, "line", "file")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"missing columns: {', '.join(CURATED_COLUMNS)}")
+    return out
+
+
+def _by_header(heads: list) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header, as the same CSV rules read it."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in heads:
+        cells = next(csv.reader([r.text.removeprefix("\ufeff")]))
+        out.setdefault(tuple(c.strip() for c in cells), []).append(r.file)
+    return out
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

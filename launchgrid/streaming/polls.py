@@ -5,18 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from launchgrid.operators.snapshots import described_changes
 from launchgrid.schemas import WINDOW_KEYS, Windows
+from launchgrid.streaming.upserts import put
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BUCKETS = 64
 
 
 def read_polls(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -33,38 +31,74 @@ def distinct_polls(polls: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 class _Changes(StatefulProcessor):
-    """Keeps each title's last announced text and when it was seen; a row out for each change from a text."""
+    """Holds a title's polls back until the watermark has passed them, then compares them in order of capture.
+
+    State: the waiting polls, one a capture time, and the last announced text that was let through. One timer is set,
+    at the earliest waiting poll.
+    """
+
+    COLUMNS = ("appid", "observed_at", "previous_raw", "new_raw")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp, raw string, seen boolean")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at timestamp", "raw string")
+        self.last = handle.getValueState("last", "at timestamp, raw string")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
+        first = None
+        for batch in rows:
+            for r in batch.itertuples():
+                if at is not None and r.captured_at <= at:
+                    continue  # the same poll again
+                first = r.captured_at if first is None else min(first, r.captured_at)
+                self.waiting.updateValue((r.captured_at.to_pydatetime(),), (None if r.raw is None or pd.isna(r.raw) else r.raw,))
+        if first is not None:
+            self._wake(first)
+        yield pd.DataFrame([], columns=list(self.COLUMNS))
+
+    def _wake(self, at: pd.Timestamp) -> None:
+        """The timer stands at ``at``, if it doesn't earlier."""
+        when = _millis(at) + 1
+        if self.timer.exists():
+            if self.timer.get()[0] <= when:
+                return
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(when)
+        self.timer.update((when,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        polls = sorted((pd.Timestamp(at), raw) for (at,), (raw,) in self.waiting.iterator())
+        due = [p for p in polls if _millis(p[0]) < mark]
         seen = self.last.exists()
-        at, raw = self.last.get()[:2] if seen else (None, None)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("captured_at").itertuples():
-            if seen and r.captured_at <= pd.Timestamp(at):
-                continue  # older than what is known, or the same poll again
-            new = None if r.raw is None or pd.isna(r.raw) else r.raw
-            if seen and raw is not None and new != raw:
-                out.append((key[0], r.captured_at, raw, new))
-            raw, seen, at = new, True, r.captured_at
-        if seen:
-            self.last.update((pd.Timestamp(at).to_pydatetime(), raw, True))
-        yield pd.DataFrame(out, columns=["appid", "observed_at", "previous_raw", "new_raw"])
+        before, out = self.last.get()[1] if seen else None, []
+        for at, raw in due:
+            if seen and before is not None and raw != before:
+                out.append((key[0], at, before, raw))
+            before, seen = raw, True
+            self.waiting.removeKey((at.to_pydatetime(),))
+        if due:
+            self.last.update((due[-1][0].to_pydatetime(), before))
+        self.timer.clear()
+        if len(due) < len(polls):
+            self._wake(polls[len(due)][0])
+        yield pd.DataFrame(out, columns=list(self.COLUMNS))
 
     def close(self) -> None:
         pass
 
 
-def date_changes(polls: DataFrame) -> DataFrame:
+def date_changes(polls: DataFrame, late: str = "1 day") -> DataFrame:
     """The stream twin of snapshots.date_changes: one event per change of the announced date.
 
-    Needs the RocksDB state store provider (ROCKSDB). Rows of a batch are put in order per title; a
-    poll that comes in a later batch than a newer one of its title is late and changes nothing.
+    Polls may land in any order within ``late``: a title's are held until the watermark has passed them, and then
+    compared in order of capture, so events are those of the batch job up to the watermark. A later poll than ``late``
+    still counts until a newer one of its title is let through; then it is dropped. Needs the RocksDB state store provider (ROCKSDB), and UTC as the session's time zone.
     """
-    slim = polls.select("appid", "captured_at", "raw")
-    changes = slim.groupBy("appid").transformWithStateInPandas(_Changes(), outputStructType="appid long, observed_at timestamp, previous_raw string, new_raw string", outputMode="Append", timeMode="None")
+    slim = polls.select("appid", F.col("captured_at").cast("timestamp").alias("captured_at"), "raw").withWatermark("captured_at", late)
+    changes = slim.groupBy("appid").transformWithStateInPandas(_Changes(), outputStructType="appid long, observed_at timestamp, previous_raw string, new_raw string", outputMode="Append", timeMode="EventTime")
     return described_changes(changes)
 
 
@@ -75,15 +109,16 @@ class _Lifecycle(StatefulProcessor):
         self.now = handle.getValueState("now", "state string, predicted string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("captured_at")
         state, predicted = self.now.get() if self.now.exists() else (None, None)
-        for r in batch.itertuples():
-            if state is None:
-                state = "pre_launch" if r.coming_soon else "tracking"
-            elif state == "pre_launch" and not r.coming_soon:
-                state = "tracking"
-            if predicted is None and r.predicted is not None and not pd.isna(r.predicted):
-                predicted = r.predicted
+        out, earliest = state is not None and state != "pre_launch", None
+        for batch in rows:  # of a batch only what it leads to is kept
+            out = out or not batch.coming_soon.all()
+            if predicted is None and len(told := batch.dropna(subset="predicted")):
+                first = told.loc[told.captured_at.idxmin()]
+                if earliest is None or first.captured_at < earliest[0]:
+                    earliest = (first.captured_at, first.predicted)
+        state = (state or "tracking" if state != "pre_launch" else "tracking") if out else "pre_launch"
+        predicted = earliest[1] if earliest else predicted
         self.now.update((state, predicted))
         yield pd.DataFrame({"appid": [key[0]], "state": [state], "predicted": [predicted]})
 
@@ -111,23 +146,14 @@ def daily_rollup(polls: DataFrame, late: str | None = "1 day") -> DataFrame:
     return out.select("appid", F.to_date("window.start").alias("day"), "polls", "peak_players", "sum_players")
 
 
-def elapsed_windows(reviews: DataFrame, starts: DataFrame, days: int, late: str = "1 day") -> DataFrame:
-    """(appid, day, window_end, review_total): the days inside each title's launch window, each
-    given once the watermark has passed it. A window has elapsed when its last day is there.
-
-    ``reviews``: appid, at, weight, a stream; ``starts``: appid, start (timestamp), a static table.
-    """
-    end = F.col("start") + F.make_dt_interval(F.lit(days))
-    inside = reviews.withWatermark("at", late).join(starts, "appid").filter((F.col("at") >= F.col("start")) & (F.col("at") < end))
-    day = F.window("at", "1 day")
-    return inside.groupBy(day, "appid", end.alias("window_end")).agg(F.sum("weight").alias("review_total")).select("appid", F.to_date("window.start").alias("day"), "window_end", "review_total")
-
-
 WINDOW_ROW = "appid long, window_key string, window_end timestamp, review_total long, review_positive long"
 
 
 class _Windows(StatefulProcessor):
-    """Sums a title's reviews by window; a window goes out once, when the watermark has passed its end."""
+    """Sums a title's reviews by window; a window goes out once, when the watermark has passed its end.
+
+    A title's windows begin with its start, from the table of starts, so one without any review has its windows too.
+    """
 
     COLUMNS = ("appid", "window_key", "window_end", "review_total", "review_positive")
 
@@ -136,30 +162,42 @@ class _Windows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getMapState("sums", "window_key string", "window_end timestamp, n long, positive long")
+        self.sums = handle.getValueState("sums", "start timestamp, n array<long>, positive array<long>, given array<boolean>")
+
+    def _begin(self, start: pd.Timestamp) -> tuple:
+        for days in self.lengths.values():
+            self.handle.registerTimer(_millis(start + pd.Timedelta(days=days)))
+        none = [0] * len(self.lengths)
+        return start.to_pydatetime(), none, list(none), [False] * len(none)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.sums.update(self._begin(initialState.start.iloc[0]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        start = batch.start.iloc[0]
-        new = not self.sums.exists()
-        for name, days in self.lengths.items():
-            end = start + pd.Timedelta(days=days)
-            inside = batch[batch["at"] < end]
-            if new:
-                self.handle.registerTimer(_millis(end))
-                self.sums.updateValue((name,), (end.to_pydatetime(), int(inside.weight.sum()), int(inside.positive.sum())))
-            elif self.sums.containsKey((name,)):
-                _, n, positive = self.sums.getValue((name,))
-                self.sums.updateValue((name,), (end.to_pydatetime(), n + int(inside.weight.sum()), positive + int(inside.positive.sum())))
+        state = self.sums.get() if self.sums.exists() else None
+        for batch in rows:
+            if state is None:  # a start that was announced after the stream began
+                state = self._begin(batch.start.iloc[0])
+            start, n, positive, given = pd.Timestamp(state[0]), list(state[1]), list(state[2]), state[3]
+            for k, days in enumerate(self.lengths.values()):
+                inside = batch[(batch["at"] >= start) & (batch["at"] < start + pd.Timedelta(days=days))]
+                n[k] += int(inside.weight.sum())
+                positive[k] += int(inside.positive.sum())
+            state = (state[0], n, positive, given)
+        if state is not None:
+            self.sums.update((pd.Timestamp(state[0]).to_pydatetime(), *map(list, state[1:])))
         yield pd.DataFrame([], columns=list(self.COLUMNS))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        for (name,), (end, n, positive) in list(self.sums.iterator()):
-            if _millis(pd.Timestamp(end)) <= now:
-                out.append((key[0], name, pd.Timestamp(end), n, positive))
-        for _, name, *_ in out:
-            self.sums.removeKey((name,))
+        at, n, positive, given = self.sums.get()
+        start, given = pd.Timestamp(at), list(given)
+        for k, (name, days) in enumerate(self.lengths.items()):
+            end = start + pd.Timedelta(days=days)
+            if not given[k] and _millis(end) <= now:
+                out.append((key[0], name, end, n[k], positive[k]))
+                given[k] = True
+        self.sums.update((start.to_pydatetime(), list(n), list(positive), given))
         yield pd.DataFrame(out, columns=list(self.COLUMNS))
 
     def close(self) -> None:
@@ -172,59 +210,24 @@ def _millis(at: pd.Timestamp) -> int:
 
 def launch_windows(reviews: DataFrame, starts: DataFrame, windows: Windows = Windows(), late: str = "1 day") -> DataFrame:
     """(appid, window_key, window_end, review_total, review_positive): each title's launch windows, each
-    given once, when it has fully elapsed; never a window that still runs.
+    given once, when it has fully elapsed; never a window that still runs. A title without reviews has windows of nought.
 
     ``reviews``: appid, at, weight, positive (weight of the positive ones), a stream; ``starts``: appid,
-    start (timestamp), a static table. Reviews outside the longest window are left out before any state;
-    a title keeps three sums. Reviews behind the watermark are late: replaced_windows makes good for them.
-    Needs the RocksDB state store provider (ROCKSDB), and UTC as the session's time zone.
+    start (timestamp, one a title), a static table that is the stream's first state: a title's timers are set before its first
+    review. A start that is announced later counts from its title's first review on. Reviews outside the longest window
+    are left out before any state; a title keeps three sums. Reviews behind the watermark are late: replaced_windows
+    makes good for them. Needs the RocksDB state store provider (ROCKSDB), and UTC as the session's time zone.
     """
     lengths = dict(zip(WINDOW_KEYS, (windows.first, windows.second, windows.third), strict=False))
+    starts = starts.filter("appid is not null and start is not null").select("appid", "start")
     end = F.col("start") + F.make_dt_interval(F.lit(max(lengths.values())))
-    inside = reviews.withWatermark("at", late).join(starts.select("appid", "start"), "appid").filter((F.col("at") >= F.col("start")) & (F.col("at") < end))
-    return inside.select("appid", "at", "start", "weight", "positive").groupBy("appid").transformWithStateInPandas(_Windows(lengths), outputStructType=WINDOW_ROW, outputMode="Append", timeMode="EventTime")
-
-
-def put(rows: DataFrame, path: str, epoch: int, key: str, at: str | None = None, buckets: int = BUCKETS, also: tuple[str, ...] = ()) -> None:
-    """Put ``rows`` over the table at ``path``: a key's (and ``also``'s) row of the greatest ``at`` stays, or the new one.
-
-    The table is dealt into buckets by key. Only buckets that ``rows`` touch are written again, into a
-    folder named by epoch, so a batch that runs again writes the same folder; ``current`` reads each
-    bucket's last one.
-    """
-    spark = rows.sparkSession
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()  # a stateful batch runs once
-    touched = [r.bucket for r in placed.select("bucket").distinct().collect()]  # at most ``buckets``
-    before = current(spark, path, rows.schema, epoch, touched)
-    order = F.struct(F.col(at), F.col("_new")) if at else F.col("_new")
-    both = placed.withColumn("_new", F.lit(1)).unionByName(before.withColumn("_new", F.lit(0)))
-    keys = (key, *also)
-    rest = [c for c in rows.columns if c not in keys]
-    last = both.groupBy(*keys, "bucket").agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "bucket", *(F.col(f"_r.{c}").alias(c) for c in rest))
-    if touched:
-        last.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
-    placed.unpersist()
-
-
-def current(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """A table that ``put`` keeps, with its bucket: of each bucket the last epoch, or the last one ``before``."""
-    kind = T.StructType([*schema, T.StructField("epoch", T.LongType()), T.StructField("bucket", T.IntegerType())])
-    try:
-        rows = spark.read.schema(kind).option("basePath", path).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], T.StructType([*schema, kind["bucket"]]))
-        raise
-    if before is not None:
-        rows = rows.filter(F.col("epoch") < before)
-    if buckets is not None:
-        rows = rows.filter(F.col("bucket").isin(*buckets))
-    last = rows.groupBy("bucket").agg(F.max("epoch").alias("epoch"))  # a row a bucket
-    return rows.join(F.broadcast(last), ["bucket", "epoch"], "left_semi").select(*schema.names, "bucket")
+    inside = reviews.withWatermark("at", late).join(starts, "appid").filter((F.col("at") >= F.col("start")) & (F.col("at") < end))
+    keyed = inside.select("appid", "at", "start", "weight", "positive").groupBy("appid")
+    return keyed.transformWithStateInPandas(_Windows(lengths), outputStructType=WINDOW_ROW, outputMode="Append", timeMode="EventTime", initialState=starts.groupBy("appid"))
 
 
 def upsert_latest(polls: DataFrame, path: str, checkpoint: str, key: str = "appid", at: str = "captured_at") -> StreamingQuery:
-    """Keep each title's last row in a table at ``path``, which ``current`` reads."""
+    """Keep each title's last row in a table at ``path``, which upserts.current reads."""
     return polls.writeStream.foreachBatch(lambda batch, epoch: put(batch, path, epoch, key, at)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -233,12 +236,9 @@ def keep_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return windows.writeStream.foreachBatch(lambda batch, epoch: put(batch, path, epoch, "appid", also=("window_key",))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replaced_windows(recomputed: DataFrame, path: str, epoch: int) -> None:
-    """Put windows that a batch run worked out anew, late reviews included, over those at ``path``.
-
-    ``epoch`` must be above those of the stream that wrote there.
-    """
-    put(recomputed, path, epoch, "appid", also=("window_key",))
+def replaced_windows(recomputed: DataFrame, path: str) -> None:
+    """Put windows that a batch run worked out anew, late reviews included, over those at ``path``."""
+    put(recomputed, path, None, "appid", also=("window_key",), writer="batch")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

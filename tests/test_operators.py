@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,13 +223,20 @@ def test_models_are_served_and_kept_only_when_earned(spark, tmp_path):
     facts = spark.createDataFrame([(80,)], "n_rows int")
     row = spark.createDataFrame([(False,), (True,)], "passes boolean").collect()
     path = str(tmp_path / "m")
-    assert not training.write_if_earned(model, row[0], facts, path) and not (tmp_path / "m").exists() and training.in_service(spark, path) is None
-    assert training.write_if_earned(model, row[1], facts, path) and (tmp_path / "m" / "facts").exists()
+    assert not training.write_if_earned(model, row[0], facts, path) and training.in_service(spark, path) is None
+    assert training.write_if_earned(model, row[1], facts, path)
     again, told = training.in_service(spark, path)
     assert told.n_rows == 80 and sorted(map(str, again.transform(m).collect())) == sorted(map(str, model.transform(m).collect()))
     constant = training.OrdinalTrees(trees=1).fit(m.filter("outcome = 'flop'"))
     assert training.write_if_earned(constant, row[1], facts, path) and training.in_service(spark, path)[0].cuts == [0.0, 0.0, 0.0]
-    # A refused run leaves no stale model in service.
+    # A run that fails midway leaves the model before it in service.
+    with pytest.raises(Exception, match="no_such_column"):
+        training.write_if_earned(model, row[1], facts.select("no_such_column"), path)
+    broken = facts.select(F.raise_error(F.lit("no_such_column")).alias("n_rows"))
+    with pytest.raises(Exception, match="no_such_column"):
+        training.write_if_earned(model, row[1], broken, path)
+    assert training.in_service(spark, path)[0].cuts == [0.0, 0.0, 0.0]
+    # A refused run leaves no stale model in service, and folders do not pile up.
     assert not training.write_if_earned(model, row[0], facts, path) and training.in_service(spark, path) is None
 
 
@@ -240,9 +248,11 @@ def test_label_fingerprint_is_that_of_the_sorted_pairs(spark):
     want = f"4:{hashlib.sha256(json.dumps(sorted(labels)).encode()).hexdigest()[:16]}"
     df = spark.createDataFrame(labels, "appid long, outcome string")
     assert forecast.label_fingerprint(df).first() == (4, want)
-    sums = forecast.label_fingerprint(df, 3).first().fingerprint
-    assert sums == forecast.label_fingerprint(df.orderBy("outcome"), 3).first().fingerprint and sums.endswith(":sums")
-    assert sums != forecast.label_fingerprint(df.filter("appid > 4").union(spark.createDataFrame([(4, "flop")], df.schema)), 3).first().fingerprint
+    many = [(k * 7919 % 100_003, "flop" if k % 3 else "success") for k in range(20_000)]
+    want = f"20000:{hashlib.sha256(json.dumps(sorted(many)).encode()).hexdigest()[:16]}"
+    df = spark.createDataFrame(many, "appid long, outcome string")
+    assert {forecast.label_fingerprint(x).first() for x in (df, df.repartition(7), df.orderBy("outcome"))} == {(20000, want)}
+    assert forecast.label_fingerprint(df.limit(0)).first() == (0, f"0:{hashlib.sha256(b'[]').hexdigest()[:16]}")
 
 
 def test_folds_are_even_and_follow_the_key(spark):
@@ -277,3 +287,161 @@ def test_queues(spark):
     assert ids(queues.missing_prices(t)) == [3, 4, 1] and ids(queues.answered(t)) == [3, 1]
     assert sorted(ids(queues.probe_scope(t))) == [1, 4] and sorted(ids(queues.probe_scope(t, True))) == [1, 2, 4] and ids(queues.probe_scope(t, True, t.filter("appid = 2"))) == [2]
     assert ids(queues.selected(t, 2)) == [3, 4] and len(ids(queues.selected(t, None))) == 4 and sorted(ids(queues.selected(t, 1, t.filter("appid in (1, 2, 9)")))) == [1, 2]
+
+
+def test_controls_are_the_nearest(spark):
+    from launchgrid.operators import matching
+
+    near = matching.Nearness()
+    cols = "appid long, cohort_year int, positive_pct double"
+    frame = lambda rows: spark.createDataFrame(rows, cols)
+    got = matching.matched_pairs(frame([(1, 2020, 78.9)]), frame([(2, 2020, 78.0), (3, 2020, 78.9)]))
+    assert [tuple(r) for r in got.collect()] == [(1, 3, 0.0, 0)]
+
+    rng, sides, want = random.Random(7), ([], []), set()
+    for case in range(200):  # cases lie ten years apart, so none reaches another
+        make = lambda side: [(case * 100 + side * 50 + k, 10 * case + rng.randrange(3), 80 + rng.randrange(40) / 10 + rng.choice((0, 0, 9))) for k in range(rng.randrange(0, 9))]  # noqa: B023, E731
+        treated, controls = make(0), make(1)
+        sides[0].extend(treated)
+        sides[1].extend(controls)
+        ways = []
+        for a, y, s in treated:
+            for b, z, t in controls:
+                gap = abs(round(10 * s) - round(10 * t))
+                if gap <= 50 and abs(y - z) <= 1:
+                    ways.append((gap + 10 * abs(y - z), y, s, z, t, a, b))
+        used = set()
+        for gap, y, s, z, t, a, b in sorted(ways):
+            if not used & {a, -b - 1}:
+                used |= {a, -b - 1}
+                want.add((a, b, round(abs(round(10 * s) - round(10 * t)) / 10, 1), abs(y - z)))
+    found = {tuple(r) for r in matching.matched_pairs(frame(sides[0] + [(-1, None, 80.0), (-2, 2020, None)]), frame(sides[1]), near).collect()}
+    assert found == want and len(want) > 300
+
+
+def test_places_in_a_cell_run_over_blocks(spark, monkeypatch):
+    from launchgrid.operators import matching
+
+    monkeypatch.setattr(matching, "PLACE_BITS", 2)
+    side = lambda ids: spark.createDataFrame([(i, 2020, 90.0) for i in ids], "appid long, cohort_year int, positive_pct double")
+    got = {(r.appid, r.control) for r in matching.matched_pairs(side(range(0, 60, 3)), side(range(1, 60, 4))).collect()}
+    assert got == set(zip(range(0, 60, 3), range(1, 60, 4)))
+
+
+def test_cohort_sums_run_in_two_levels(spark, monkeypatch):
+    from launchgrid.operators import cohort
+
+    rng = random.Random(3)
+    rows = [(2000 + rng.randrange(5), rng.choice((rng.randrange(300), rng.randrange(40)))) for _ in range(3000)]
+    reference = spark.createDataFrame(rows, "cohort_year int, value long")
+    probes = reference.withColumn("appid", F.monotonically_increasing_id())
+    both = lambda: (sorted(map(str, cohort.percentiles(reference, probes).collect())), sorted(map(str, cohort.statistics(reference).collect())))
+    whole = both()
+    monkeypatch.setattr(cohort, "WIDTH", 8)
+    monkeypatch.setattr(cohort.in_order, "__defaults__", (8,))
+    assert both() == whole
+    parts = cohort.pooled(reference).groupBy("cohort_year", F.floor(F.col("value") / 8)).count()
+    year = {r.cohort_year: r.n for r in cohort.pooled(reference).groupBy("cohort_year").agg(F.count("*").alias("n")).collect()}
+    assert all(10 * r["count"] <= year[r.cohort_year] for r in parts.collect())  # what one window holds
+    plan = cohort.percentiles(reference, probes)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows and all("_part" in x.split("], [")[1] or "_sum" in x for x in windows)
+
+
+def test_overlaps_with_many_names_and_a_name_on_half_of_all(spark):
+    from launchgrid.operators import histories
+
+    rng = random.Random(2)
+    outcomes = ("flop", "underperform", "success", "breakout")
+    names = [f"studio {k}" for k in range(30)]
+    rows = []
+    for i in range(400):
+        own = rng.sample(names, rng.randrange(1, 4)) + (["everywhere"] if i % 2 else []) + (["half of those"] if i % 4 == 1 else [])
+        rows.append((i, "\n".join(own[:2]), "\n".join(own[2:]), rng.choice(outcomes)))
+    rows += [(1000, "\n".join(names * 2), "\n".join(f"other {k}" for k in range(30)), "flop"), (1001, "", None, "flop"), (1002, None, "other 3", "success")]
+    df = spark.createDataFrame(rows, "appid long, developer string, publisher string, outcome string")
+    sets = {r[0]: {x.strip() for part in r[1:3] for x in (part or "").split("\n")} - {""} for r in rows}
+    for heavy in (10, 100_000):
+        got = {r.appid: tuple(r)[1:] for r in histories.overlap_records(df, df.filter("appid % 5 <> 0"), heavy).collect()}
+        for i, *_ in rows:
+            met = [r[3] for r in rows if r[0] % 5 and r[0] != i and sets[r[0]] & sets[i]]
+            assert got[i] == (len(met), *(met.count(o) for o in outcomes))
+
+
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    import csv
+
+    from launchgrid.schemas import CURATED_COLUMNS
+    from launchgrid.sources import curated
+
+    folder = tmp_path / "curated"
+    folder.mkdir()
+    want = {}
+    for name, n in (("a.csv", 120), ("b.csv", 7)):
+        with open(folder / name, "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\n")
+            w.writerow(CURATED_COLUMNS)
+            for k in range(n):
+                cells = dict.fromkeys(CURATED_COLUMNS, "")
+                cells |= {"steam_appid": str(k), "game_name": f"{name} {k}", "notes": 'two\nlines, "quoted"\n\nand a third' if k % 3 == 0 else " plain "}
+                w.writerow([cells[c] for c in CURATED_COLUMNS])
+                want[f"{name} {k}"] = k + 2
+                if k % 10 == 0:
+                    f.write("\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str((folder / "a.csv").stat().st_size // 5 + 1))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = curated.read_text(spark, str(folder)).collect()
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() >= 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r.game_name: r.line for r in got} == want and len(got) == 127
+    assert {r.notes for r in got} == {'two\nlines, "quoted"\n\nand a third', "plain"}
+    with pytest.raises(ValueError, match="missing columns"):
+        (tmp_path / "c.csv").write_text("steam_appid,game_name\n1,x\n")
+        curated.read_text(spark, str(tmp_path / "c.csv"))
+
+
+def test_closed_days_are_rolled_up_once(spark, tmp_path):
+    import datetime as d
+
+    from launchgrid.operators import snapshots
+
+    series, rollup = str(tmp_path / "series"), str(tmp_path / "rollup")
+    rows = lambda xs: spark.createDataFrame([(i, d.datetime(2026, 1, day, h), n) for i, day, h, n in xs], "appid long, captured_at timestamp, players long")
+    snapshots.append_days(rows([(i, day, h, 10 * h) for i in (1, 2) for day in (1, 2, 20) for h in (3, 9)]), series)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "rollup").rglob("day=*/*.parquet")}
+    days = lambda today: [x.day for x in snapshots.roll_up(spark, series, rollup, today)]
+    assert days(d.date(2026, 2, 3)) == [1, 2]  # the 20th isn't 30 days old
+    first = files()
+    assert days(d.date(2026, 2, 3)) == [] and files() == first
+    snapshots.append_days(rows([(1, 2, 12, 500)]), series)  # late
+    assert days(d.date(2026, 2, 4)) == [2]
+    second = files()
+    assert {p for p in first if second.get(p) == first[p]} == {p for p in first if "day=2026-01-01" in str(p)}
+    got = {(r.appid, r.day.day): (r.polls, r.peak_players, r.last_players) for r in spark.read.parquet(rollup).collect()}
+    assert got == {(1, 1): (2, 90, 90), (2, 1): (2, 90, 90), (1, 2): (3, 500, 500), (2, 2): (2, 90, 90)}
+    assert days(d.date(2026, 2, 8)) == [] and not (tmp_path / "series" / "day=2026-01-01").exists() and (tmp_path / "series" / "day=2026-01-02").exists()
+    snapshots.append_days(rows([(1, 1, 5, 7)]), series)
+    assert days(d.date(2026, 2, 8)) == [] and not (tmp_path / "series" / "day=2026-01-01").exists()  # a removed day stays as it is
+    plan = snapshots.recent(spark.read.parquet(series), 5, since=d.date(2026, 1, 20))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_a_sampled_silhouette_decides_as_the_exact_one(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from launchgrid.operators import tiers
+
+    rng = random.Random(4)
+    for apart in (0.6, 6.0):
+        rows = [(f"c{k}", k % 3, [rng.gauss(apart * (k % 3), 1.0), rng.gauss(0, 1.0)]) for k in range(900)]
+        df = spark.createDataFrame(rows, "company string, label int, v array<double>").select("company", "label", array_to_vector("v").alias("features"))
+        exact = tiers.silhouette(df).first().silhouette
+        mean, error, n = tiers.sampled_silhouette(df, 200)
+        assert n == 900 and abs(mean - exact) < 4 * error
+        assert tiers.sampled_silhouette(df, 900)[:2] == (pytest.approx(exact), 0.0)
+        passes, _, used = tiers.clears(df, sample=100)
+        assert passes == (exact >= tiers.SILHOUETTE_BAR) and used <= 900
