@@ -123,7 +123,7 @@ def _sign(n_bands: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
                     bands[:, b] = h
                 bits = np.packbits((mix(sig[:, :128]) & np.uint64(1)).astype(np.uint8), axis=1)
                 sketch = bits.view(">i8").astype(np.int64)
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                digest = _digest(sets)
                 flat = pa.array(bands.ravel().view(np.int64))
                 ends = pa.array(np.arange(0, len(flat) + 1, n_bands), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -134,19 +134,27 @@ def _sign(n_bands: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def _digest(sets: list[np.ndarray]) -> list[bytes]:
+    return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+
+
 def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, sh) of the rows that have the asked class's set; rows of its id may have others."""
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             sets = _sets(part)
+            own = [k for k, (d, asked) in enumerate(zip(_digest(sets), part.column("digest").to_pylist(), strict=True)) if d == asked]
+            sets = [sets[k] for k in own]
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, flat)], names=["id", "sh"])
+            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(ends, flat)], names=["rep", "sh"])
 
 
-def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, sh) of the asked ids; of rows of one id, the one with the greatest set."""
-    asked = texts.join(ids.hint("shuffle_hash"), texts.id == ids.rep, "left_semi")
-    return written(asked.mapInArrow(_shingle_sets, "id long, sh array<long>").groupBy("id").agg(F.max("sh").alias("sh")), "sets")
+def _sets_of(reps: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, sh) of the asked classes, each from a text of its least id."""
+    asked = reps.join(classes.select("rep", "id", "digest"), "rep").select("rep", F.col("id").alias("of"), "digest")
+    own = texts.join(asked.hint("shuffle_hash"), texts.id == asked.of).select("rep", "digest", "text")
+    return written(own.mapInArrow(_shingle_sets, "rep long, sh array<long>").groupBy("rep").agg(F.max("sh").alias("sh")), "sets")
 
 
 def _similar(a: str, b: str, threshold: float) -> Column:
@@ -154,11 +162,11 @@ def _similar(a: str, b: str, threshold: float) -> Column:
     return 100 * common >= round(threshold * 100) * (F.size(a) + F.size(b) - common)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose whole sets are similar enough."""
+def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of ``pairs`` (a, b) of classes, those whose whole sets are similar enough."""
     pairs = written(pairs, "pairs")
-    sets = _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), texts)
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("sh").alias("shb")), "b").join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sha")), "a")
+    sets = _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), classes, texts)
+    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("sh").alias("shb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("sh").alias("sha")), "a")
     return written(both.filter(_similar("sha", "shb", threshold)).select("a", "b"), "links")
 
 
@@ -192,16 +200,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign(bands_for(threshold)), "id long, n long, digest binary, bands array<long>, s0 long, s1 long"), "signatures")
     real = signed.filter("n > 0 and id is not null")
-    # Equal sets have equal everything but the id, so any row's signature will do.
-    classes = written(real.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "classes")
+    # Equal sets have equal everything but the id, so any row's signature will do. A class is named by a number of its own, as
+    # an id may have rows in several.
+    alike = real.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("bands").alias("bands"), F.max("s0").alias("s0"), F.max("s1").alias("s1"))
+    classes = written(alike.withColumn("rep", F.monotonically_increasing_id()), "classes")
     # Equal ids with different texts are one document: unite their classes too.
     same_id = real.select("id", "digest").distinct().groupBy("id").agg(F.collect_set("digest").alias("d")).filter(F.size("d") > 1)
-    joined = same_id.select("id", F.explode("d").alias("digest")).join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a <> b")
+    of_id = same_id.select(F.col("id").alias("of"), F.explode("d").alias("digest")).join(classes.select("digest", "rep"), "digest").select("of", "rep")
+    joined = of_id.join(of_id.groupBy("of").agg(F.min("rep").alias("a")), "of").filter("rep <> a").select("a", F.col("rep").alias("b"))
 
     banded = classes.select("rep", "n", "s0", "s1", F.explode("bands").alias("band"))
     crowd = written(banded.join(_pivots(banded, 0).filter("in_band > 1"), "band"), "crowd")
     star = crowd.filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-    known = components(_confirm(star, texts, threshold).union(joined))
+    known = components(_confirm(star, classes, texts, threshold).union(joined))
 
     crowd = crowd.drop("pivot", "in_band")
     again = _mixed(crowd, known, "again")
@@ -209,20 +220,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc
     apart = again.join(pivots, "band").filter("part <> pivot_part")
     star = apart.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     linked = known.select(F.col("v").alias("a"), F.col("m").alias("b"))
-    known = components(linked.union(_confirm(star, texts, threshold)))
+    known = components(linked.union(_confirm(star, classes, texts, threshold)))
 
     x, y = _grid(_mixed(crowd, known, "rest"))
     equal_bits = 128 - F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     near = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.part") != F.col("y.part")) & (equal_bits >= fewest_equal_bits(threshold))
     near &= (F.col("x.n") >= threshold * 0.99 * F.col("y.n")) & (F.col("y.n") >= threshold * 0.99 * F.col("x.n"))
     close = written(x.join(y, near, "left_semi").drop("cell").distinct(), "close")  # of each pair that is left, both rows
-    sets = _sets_of(close.select("rep").distinct(), texts).withColumnRenamed("id", "rep")
+    sets = _sets_of(close.select("rep").distinct(), classes, texts)
     x, y = _grid(close.join(sets, "rep"))
     more = written(x.join(y, near & (F.col("x.rep") < F.col("y.rep")) & _similar("x.sh", "y.sh", threshold)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "more")
     if not more.isEmpty():
         known = components(known.select(F.col("v").alias("a"), F.col("m").alias("b")).union(more))
 
-    lead = classes.join(known, classes.rep == known.v, "left").select("digest", F.coalesce("m", "rep").alias("component"))
+    placed = classes.join(known, classes.rep == known.v, "left").select("digest", "id", F.coalesce("m", "rep").alias("part"))
+    least = placed.groupBy("part").agg(F.min("id").alias("component"))
+    lead = placed.join(least, "part").select("digest", "component")
     out = signed.select("id", "n", "digest").join(lead, "digest", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))

@@ -88,6 +88,13 @@ def test_equal_ids_are_one_document(spark):
     assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()} == {(5, 1), (1, 1), (9, 1)}
 
 
+def test_links_of_an_id_with_several_texts_are_kept(spark):
+    run = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, run("x", 60)), (5, run("x", 60) + " tail"), (5, run("a", 300)), (9, run("a", 300) + " tail"), (20, run("b", 90)), (30, run("b", 90) + " end"), (30, run("c", 90)), (30, run("d", 40)), (7, run("d", 40))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (5, 1), (9, 1), (20, 7), (30, 7), (7, 7)} and len(got) == len(rows)
+
+
 def test_bands_follow_the_threshold():
     assert (neardup.bands_for(0.85), neardup.bands_for(0.8)) == (25, 37)
     assert (neardup.fewest_equal_bits(0.85), neardup.fewest_equal_bits(0.8)) == (101, 95)
