@@ -14,7 +14,7 @@ are merged by rank.
 
 Defined results: rows whose id or vector is null, or whose vector holds a null or non-finite
 component, take no part. Shorter vectors count as padded with zeros. Rows of one id count
-as one row, with the greatest of their vectors. Ids are whole numbers. A component beyond +-2^24 raises. An empty
+as one row, with the greatest of their vectors. Ids are whole numbers. An empty
 table gives no rows. Other columns are never read.
 """
 
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from launchgrid.llm.storage import written
 
-BLOCK, TOP = 1 << 15, 5
+BLOCK, WIDE_BLOCK, TOP = 1 << 15, 1 << 11, 5
+NARROW = 1 << 16  # of a component
 ROUND_BYTES = 1 << 25
 
 
@@ -55,7 +56,7 @@ def add_up(slices: np.ndarray, query: np.ndarray) -> np.ndarray:
     waiting: dict[int, list[np.ndarray]] = {}
     plus, minus = slices, None
     for t in range(int(size.max(initial=0)).bit_length()):
-        chosen = size >> t & 1 == 1
+        chosen = (size >> t & 1 == 1).astype(bool)
         up, down = np.flatnonzero(chosen & (query > 0)), np.flatnonzero(chosen & (query < 0))
         for d in range(digits):
             if len(up):
@@ -105,36 +106,68 @@ def select_top(total: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
 
 def _values(slices: np.ndarray, at: np.ndarray) -> np.ndarray:
     """[rows, components] read back from the slices."""
-    digit = (slices[:, :, at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64)
-    return (digit << np.arange(slices.shape[1])[None, :, None]).sum(1).T
+    digit = (slices[:, :, at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(_kind(slices.shape[1]))
+    return (digit << np.arange(slices.shape[1]).astype(digit.dtype)[None, :, None]).sum(1).T
+
+
+def _kind(bits: int) -> type:
+    """What holds whole numbers of so many bits."""
+    return np.int64 if bits < 63 else object
+
+
+def _bits(values: np.ndarray) -> int:
+    return int(np.abs(values).max(initial=0)).bit_length()
+
+
+def quantised(vectors: list, width: int, scale: int) -> np.ndarray:
+    """floor(scale x component), [rows, width], shorter vectors filled up with 0; Python's numbers where 64 bits are too few."""
+    x = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        x[i, : len(v)] = v
+    if np.abs(x).max(initial=0) < NARROW:
+        return np.floor(scale * x).astype(np.int64)
+    exact = [[math.floor(scale * c) if abs(c) < NARROW else scale * math.floor(c) + math.floor(scale * (c % 1)) for c in row] for row in x.tolist()]
+    return np.array(exact, object).reshape(x.shape)
+
+
+def order_key(n: int) -> bytes:
+    """Bytes that sort as whole numbers of any size do."""
+    if n < 0:
+        return bytes(255 - b for b in order_key(-n - 1))
+    size = (n.bit_length() + 7) // 8
+    return b"\x80" + size.to_bytes(2, "big") + n.to_bytes(size, "big")
+
+
+def products(values: np.ndarray, query: np.ndarray) -> list[int]:
+    """Exact inner products, as Python's numbers."""
+    wide = _bits(values) + _bits(query) + len(query).bit_length() >= 63
+    return (values.astype(object) @ query.astype(object) if wide else values @ query).tolist()
 
 
 def top_products(vectors: DataFrame, is_query: F.Column, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, id, score): for each row where ``is_query`` (of the id column), the
-    ``k`` other rows with the greatest inner product of floor(scale x component)."""
-    x = F.col(vector_col)
+    ``k`` other rows with the greatest inner product of floor(scale x component).
+
+    Any finite components will do: rows with one of NARROW or more lie in blocks of their own, with as many slices as they need.
+    Rows are ranked by the exact product; one that 64 bits cannot hold is given as the nearest number that they can.
+    """
+    spark, x = vectors.sparkSession, F.col(vector_col)
     whole = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf))
-    parts = vectors.filter(whole).select(F.col(id_col).alias("id"), F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v"), is_query.alias("asks"))
-    rows = written(parts.groupBy("id").agg(F.max("v").alias("v"), F.max("asks").alias("asks")), "quantised")
-    size = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.size("v")).alias("width"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).first()
-    low, high, width = min(0, size.low or 0), max(0, size.high or 0), size.width or 0
-    if max(-low, high) > 1 << 24:
-        raise ValueError("a quantised component is beyond 2^24")
-    digits = max(1, (high - low).bit_length())
-    blocks = max(1, -(-size.n // BLOCK))
+    parts = vectors.filter(whole).select(F.col(id_col).alias("id"), F.transform(x, lambda c: c.cast("double")).alias("v"), is_query.alias("asks"))
+    rows = parts.groupBy("id").agg(F.max("v").alias("v"), F.max("asks").alias("asks"))
+    rows = written(rows.withColumn("wide", F.exists("v", lambda c: F.abs(c) >= NARROW)), "vectors")
+    size = rows.agg(F.count("*").alias("n"), F.count_if("wide").alias("n_wide"), F.count_if("asks").alias("q"), F.max(F.size("v")).alias("width")).first()
+    width, blocks, wide_blocks = size.width or 0, max(1, -(-size.n // BLOCK)), max(1, -(-size.n_wide // WIDE_BLOCK))
     rounds = max(1, -(-size.q // max(1, ROUND_BYTES // (8 * (width + 1)))))
-    shares = max(1, min(8, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
-
-    def padded(v: pd.Series) -> np.ndarray:
-        out = np.zeros((len(v), width), np.int64)
-        for i, a in enumerate(v):
-            out[i, : len(a)] = a
-        return out
+    shares = max(1, min(8, -(-2 * spark.sparkContext.defaultParallelism // blocks)))
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        s = slices_of(padded(pdf.v) - low, digits)
-        return pd.DataFrame({"block": pdf.block.iloc[:1], "ids": [pdf.id.to_numpy("<i8").tobytes()], "slices": [s.tobytes()]})
+        values = quantised(pdf.v.tolist(), width, scale)
+        low = int(values.min(initial=0))
+        digits = max(1, (int(values.max(initial=0)) - low).bit_length())
+        s = slices_of(values - low, digits)
+        return pd.DataFrame({"block": pdf.block.iloc[:1], "ids": [pdf.id.to_numpy("<i8").tobytes()], "slices": [s.tobytes()], "low": [str(low)], "digits": [digits]})
 
     def search(asked) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,34 +175,38 @@ def top_products(vectors: DataFrame, is_query: F.Column, k: int = TOP, id_col: s
             for batch in batches:
                 for r in batch.itertuples():
                     ids = np.frombuffer(r.ids, "<i8")
-                    slices = np.frombuffer(r.slices, np.uint64).reshape(width, digits, -1)
+                    slices = np.frombuffer(r.slices, np.uint64).reshape(width, r.digits, -1)
                     every = np.zeros(slices.shape[2] * 8, np.uint8)
                     every[: -(-len(ids) // 8)] = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
-                    found = []
+                    found: list[tuple[int, int, int]] = []
                     for q, vector in zip(every_id[r.share :: shares], every_vector[r.share :: shares], strict=True):
                         among = every.copy()
                         own = np.searchsorted(ids, q)
                         if own < len(ids) and ids[own] == q:
                             among[own // 8] &= np.uint8(255 - (1 << own % 8))
                         best = select_top(add_up(slices, vector), among.view(np.uint64), k)
-                        found.append((np.full(len(best), q), ids[best], (_values(slices, best) + low) @ vector))
+                        values = _values(slices, best) + int(r.low)
+                        found += [(q, i, s) for i, s in zip(ids[best].tolist(), products(values, vector), strict=True)]
                     if found:
-                        yield pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+                        of, near, score = zip(*found, strict=True)
+                        held = [max(-(2**63), min(2**63 - 1, s)) for s in score]
+                        yield pd.DataFrame({"query_id": of, "id": near, "score": np.array(held, np.int64), "exact": [order_key(s) for s in score]})
 
         return run
 
     def in_round(turn: int) -> DataFrame:
-        asks = rows.filter("asks").filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rounds)) == turn).select("id", "v").toPandas()
-        asked = spark.sparkContext.broadcast((asks.id.to_numpy("<i8"), padded(asks.v)))
-        found = made.mapInPandas(search(asked), "query_id long, id long, score long")
+        asks = rows.filter("asks").filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rounds)) == turn).select("id", "v", "wide").toPandas()
+        vectors = [quantised([v], width, scale)[0] for v in asks.v]
+        asked = spark.sparkContext.broadcast((asks.id.tolist(), vectors))
+        found = made.mapInPandas(search(asked), "query_id long, id long, score long, exact binary")
         return found if rounds == 1 else written(found, "found")
 
-    spark = vectors.sparkSession
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    made = written(rows.select(block.alias("block"), "id", "v").groupBy("block").applyInPandas(index, "block long, ids binary, slices binary"), "slices")
+    hashed = F.xxhash64("id")
+    block = F.when(F.col("wide"), blocks + F.pmod(hashed, F.lit(wide_blocks))).otherwise(F.pmod(hashed, F.lit(blocks)))
+    made = written(rows.select(block.alias("block"), "id", "v").groupBy("block").applyInPandas(index, "block long, ids binary, slices binary, low string, digits int"), "slices")
     made = made.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     if shares > 1:
         made = made.repartition(blocks * shares, "block", "share")
     found = reduce(DataFrame.unionByName, map(in_round, range(rounds)))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
