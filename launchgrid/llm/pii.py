@@ -32,6 +32,7 @@ are never read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -265,6 +266,7 @@ def examples(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = cells(base.select("row", "same", "start", "end")).withColumnsRenamed({"start": "s", "end": "e"})
     touched = cells(proposed.select("row", "same", "gen", "start", "end")).join(near, ["row", "same", "cell"]).filter("start < e and s < end").select("row", "same", "gen", "start", "end").distinct()
     apart = proposed.join(touched, ["row", "same", "gen", "start", "end"], "left_anti").withColumn("possible", possible(F.col("m"), F.col("gen"), F.col("before"), F.col("after")))
+    apart = written(apart, "apart")
     keep = ("row", "same", "start", "before", "after")
     right = base.select(*keep, F.explode(respelt(F.col("kind"), F.col("m"))).alias("x"))
     wrong = apart.filter(~F.col("possible")).select(*keep, F.explode(regrouped(F.col("m"), F.col("gen"))).alias("x"))
@@ -287,12 +289,19 @@ def _names() -> list[str]:
 def fit(known: DataFrame, most: int = MOST_EXAMPLES, precision: float = PRECISION):
     """(assembler, trees, threshold of each kind) from examples, or None without both labels.
 
-    A span's spellings are all fitted to or all held out.
+    A span's spellings are all fitted to or all held out. Fitted are the ``most`` examples of the least hashes of each kind and label. They are
+    counted first, and only those whose hash is under a bound that half as many again will pass are put in order, so what is
+    ranked stays as small when examples grow; features are worked out for these alone.
     """
     span = F.xxhash64("row", "same", "start")
-    known = known.withColumns({"kind": _kind(F.col("gen")), "span": span, "key": F.xxhash64(span, "gen", "m")})
-    place = F.row_number().over(Window.partitionBy("kind", "label").orderBy("key", "m"))
-    sample = written(_measured(known.filter("span % 3 <> 0").withColumn("place", place).filter(F.col("place") <= most)), "examples")
+    known = written(known.withColumns({"kind": _kind(F.col("gen")), "span": span, "key": F.xxhash64(span, "gen", "m")}), "known")
+    fitted = known.filter("span % 3 <> 0")
+    counts = fitted.groupBy("kind", "label").count().collect()  # two a kind
+    bounds = {(r.kind, r.label): min(2**63 - 1, int(1.5 * most / r["count"] * 2**63)) for r in counts}
+    under = reduce(lambda seen, x: F.when((F.col("kind") == x[0][0]) & (F.col("label") == x[0][1]), F.lit(x[1])).otherwise(seen), bounds.items(), F.lit(-1))
+    place = F.row_number().over(Window.partitionBy("kind", "label").orderBy("rank", "key", "m"))
+    few = fitted.withColumn("rank", F.shiftrightunsigned("key", 1)).filter(F.col("rank") <= under)
+    sample = written(_measured(few.withColumn("place", place).filter(F.col("place") <= most)), "examples")
     seen = sample.agg(F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") == 0).alias("zeros")).first()
     if not seen.ones or not seen.zeros:
         return None
