@@ -2,7 +2,8 @@
 
 A text's keys are the distinct 64-bit hashes of its paragraph pieces. A piece is a run of words
 within a line that ends with a word whose last character is one of ENDS, or with the
-PIECE_WORDSth word: an edit changes the pieces around it and leaves the others. A table has
+PIECE_WORDSth word. The letter among ENDS is there for texts without sentences: where a piece ends is then told by the words
+too, not by their number alone, so an edit changes the pieces around it and leaves the others. A table has
 three parts of equal size; a key is added to one cell of each: the cell's count goes up, and the
 key and its check hash are XORed in. Two versions' tables of one size subtract cell by cell;
 keys that both have cancel. Peeling then reads a key from any cell with a count of one whose
@@ -134,7 +135,8 @@ def _small(a: Column, b: Column) -> Column:
     left = lambda x, y, c: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("k"), F.lit(c).alias("c")))
     sizes = F.array(*map(F.lit, range(BITS, MOST_BITS + 1, 2)))
     grown = F.aggregate(sizes, F.lit(None).cast(DIFFERENCE), lambda found, bits: F.coalesce(found, peeled(table(a, bits, b), bits)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.array().cast(DIFFERENCE)).otherwise(F.coalesce(grown, F.concat(left(a, b, 1), left(b, a, -1))))
+    # Tables of equal lists cancel in every cell.
+    return F.when(a == b, F.array().cast(DIFFERENCE)).otherwise(F.coalesce(grown, F.concat(left(a, b, 1), left(b, a, -1))))
 
 
 def difference(a: Column, b: Column, table_a: Column | None = None, table_b: Column | None = None) -> Column:
@@ -157,10 +159,9 @@ def recovered(found: Column) -> Column:
     return F.struct(side(1).alias("first"), side(-1).alias("second"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared keys over all keys of two versions, each (keys, cells): its keys and fingerprint."""
-    both = F.size(a["keys"]) + F.size(b["keys"])
-    return _bound(F.size(difference(a["keys"], b["keys"], a["cells"], b["cells"])), lambda d: F.when(both + d == 0, F.lit(1.0)).otherwise((both - d) / (both + d).cast("double")))
+def likeness(a: Column, b: Column, d: Column) -> Column:
+    """Shared keys over all keys of two versions of ``a`` and ``b`` keys that differ in ``d``."""
+    return F.when(a + b + d == 0, F.lit(1.0)).otherwise((a + b - d) / (a + b + d).cast("double"))
 
 
 def shown(n_chars: Column, cells: Column) -> Column:
@@ -209,24 +210,28 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], rows_per_range:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and how many
+    digests the recovered difference to the edited text has that only the text (pieces_lost) or only the edited one has (pieces_gained).
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many
     of the next document.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("keys", keys(F.col("text")))
-    rows = with_next(texts, "id", ["text", "keys"])
+    rows = with_next(texts.withColumn("cells", table(F.col("keys"))), "id", ["text", "keys", "cells"])  # a text's own table is made once
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.substring("next_text", F.lit(1), F.col("half")))
-    rows = rows.withColumn("edited", edited).select("id", "n_chars", "keys", "next_keys", F.char_length("edited").alias("edited_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), keys(F.col("edited")).alias("edited_keys"))
-    versions = F.transform(F.array("keys", "edited_keys", "next_keys"), lambda k: F.struct(k.alias("keys"), table(k).alias("cells")))
-    rows = rows.select("id", "n_chars", "edited_chars", "edited_sha256", versions.alias("versions"))
-    own = F.element_at("versions", 1)
-    rows = rows.withColumn("near", F.transform(F.slice("versions", 2, 2), lambda other: likeness(own, other)))
+    rows = rows.withColumn("edited", edited).select("id", "n_chars", "keys", "cells", "next_keys", "next_cells", F.char_length("edited").alias("edited_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), keys(F.col("edited")).alias("edited_keys"))
+    rows = rows.withColumn("edited_cells", table(F.col("edited_keys")))
+    others = F.array(*(F.struct(F.col(f"{v}_keys").alias("keys"), F.col(f"{v}_cells").alias("cells")) for v in ("edited", "next")))
+    found = F.transform(others, lambda x: difference(F.col("keys"), x["keys"], F.col("cells"), x["cells"]))
+    rows = rows.select("id", "n_chars", "edited_chars", "edited_sha256", "cells", "edited_cells", *(F.size(f"{v}keys").alias(f"{v}n") for v in ("", "edited_", "next_")), found.alias("found"))
+    side = lambda c: F.size(F.filter(F.element_at("found", 1), lambda x: x["c"] == c)).cast("bigint")
     return rows.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256",
-        shown(F.col("n_chars"), own["cells"]).alias("fingerprint"),
-        shown(F.col("edited_chars"), F.element_at("versions", 2)["cells"]).alias("edited_fingerprint"),
-        F.element_at("near", 1).alias("near_edited"),
-        F.element_at("near", 2).alias("near_next"),
+        shown(F.col("n_chars"), F.col("cells")).alias("fingerprint"),
+        shown(F.col("edited_chars"), F.col("edited_cells")).alias("edited_fingerprint"),
+        likeness(F.col("n"), F.col("edited_n"), F.size(F.element_at("found", 1))).alias("near_edited"),
+        likeness(F.col("n"), F.col("next_n"), F.size(F.element_at("found", 2))).alias("near_next"),
+        side(1).alias("pieces_lost"),
+        side(-1).alias("pieces_gained"),
     )
