@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from launchgrid.sources.shared import written
+
 SILHOUETTE_BAR, AGREEMENT_BAR = 0.35, 0.75
 AT_ONCE = 4
 VECTOR = ("log_count", "mean_volume_pct", "mean_positive_pct", "mean_breadth", "span_years")
@@ -26,8 +28,9 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 
 def clustered(rows: DataFrame, k: int = 3, seeds: range = range(25)) -> DataFrame:
-    """``rows`` with the ``label`` of the seed of least cost. The rows are fitted from a cache."""
-    best = min(_fitted(rows.cache(), k, seeds), key=lambda m: m.summary.trainingCost)
+    """``rows`` with the ``label`` of the seed of least cost. The rows are written once and fitted from there."""
+    rows = written(rows, "vectors")
+    best = min(_fitted(rows, k, seeds), key=lambda m: m.summary.trainingCost)
     return best.transform(rows)
 
 
@@ -58,11 +61,11 @@ def adjusted_rand(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def seed_agreement(rows: DataFrame, k: int = 3, seeds: range = range(12)) -> float:
     """Mean adjusted Rand index over pairs of seeds."""
-    rows = rows.cache()
+    rows = written(rows, "vectors")
     every = rows.select("company", "features")
     for s, m in zip(seeds, _fitted(rows, k, seeds), strict=True):
         every = m.setPredictionCol(f"l{s}").transform(every)
-    every = every.select(*(f"l{s}" for s in seeds)).cache()
+    every = every.select(*(f"l{s}" for s in seeds))
     # All contingency tables in one pass: k x k counts a pair of seeds.
     pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("pair"), F.col(f"l{a}").alias("a"), F.col(f"l{b}").alias("b")) for i, (a, b) in enumerate(combinations(seeds, 2)))))
     cells = every.select(pairs.alias("x")).groupBy("x.pair", "x.a", "x.b").agg(F.count("*").alias("n")).toPandas()

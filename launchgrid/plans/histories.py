@@ -13,7 +13,7 @@ from launchgrid.plans.scoring import ranked, rates, summaries
 from launchgrid.schemas import DAY_ONE, OUTCOMES
 from launchgrid.sources import logical
 from launchgrid.sources.logical import BASE
-from launchgrid.sources.shared import written
+from launchgrid.sources.shared import new_folder, written
 
 WIDE = f"""{BASE}, wide AS (
   SELECT t.*, s.first_total, s.positive_pct, s.retention, p.percentile FROM titles t JOIN summary s USING (appid) LEFT JOIN percentiles p USING (appid)
@@ -243,24 +243,38 @@ def ordinal_recombine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("appid", F.round(F.element_at("p", 1), 6).alias("p0"), F.round(F.element_at("p", 4), 6).alias("p3"))
 
 
+TREES, REPEATS = 20, 2  # of the queries; the operators' own are 150 and 20, see the README
+
+
+def matrix_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wide(spark, sf_dir)
+    return written(forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir)), "matrix")
+
+
+def gated(matrix: DataFrame) -> DataFrame:
+    assigned = forecast.folds(matrix.select("appid", "outcome"), repeats=REPEATS)
+    found = training.cross_validated(matrix, assigned, forecast.fold_constants(assigned), trees=TREES)
+    return forecast.gate(forecast.held_out_scores(found))
+
+
 @query()
 def gbt_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MLlib's trees per cut, fitted to all labelled titles and applied to titles not out."""
-    rows = wide(spark, sf_dir)
-    matrix = forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir))
-    model = training.OrdinalTrees(trees=20).fit(matrix)
+    """Titles not out, by MLlib's trees per cut if the gate lets them into service, else by the rule."""
+    matrix, service = matrix_of(spark, sf_dir), new_folder(spark, "service")
+    gate = gated(matrix).withColumn("n_rows", F.col("n_rows").cast("long"))
+    passed = gate.first()
+    model = training.OrdinalTrees(trees=TREES).fit(matrix) if passed.passes else None
+    facts = training.provenance(gate, forecast.label_fingerprint(labelled(spark, sf_dir)), "1")
+    training.write_if_earned(model, passed, facts, service)
+    served = training.in_service(spark, service)
     live = live_features(spark, sf_dir).withColumn("imputed", F.split("imputed", ","))
-    return training.served(live, forecasts(spark, sf_dir), model, matrix.count())
+    return training.served(live, forecasts(spark, sf_dir), served[0] if served else None, matrix.count())
 
 
 @query()
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4 with A20-A22 on all labelled titles."""
-    rows = wide(spark, sf_dir)
-    m = forecast.training_matrix(rows, histories.publisher_records(rows), rates(spark, sf_dir))
-    assigned = forecast.folds(m.select("appid", "outcome"), repeats=2)
-    found = training.cross_validated(m, assigned, forecast.fold_constants(assigned), trees=20)
-    return forecast.gate(forecast.held_out_scores(found))
+    return gated(matrix_of(spark, sf_dir))
 
 
 @query()

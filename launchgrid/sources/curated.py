@@ -86,7 +86,7 @@ def merged_proposals(prior: DataFrame, new: DataFrame, key: str = "appid") -> Da
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file: review files are read by people."""
+    """One CSV file, by one task: review files are read by people, so they have some thousand rows at most."""
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -18,6 +18,14 @@ def test_agrees_with_sql(spark, db, name):
     assert compare.differences(QUERIES[name](spark, SF), db, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"gbt_ordinal", "cross_validation", "kmeans_tiers"}))
-def test_has_rows(spark, name):
-    assert QUERIES[name](spark, SF).limit(1).count() == 1
+def test_forecasts_are_served_by_what_the_gate_passed(spark):
+    gate = QUERIES["cross_validation"](spark, SF).first()
+    rows = QUERIES["gbt_ordinal"](spark, SF).collect()
+    assert gate.n_rows > 0 and 0 <= gate.accuracy <= 1 and gate.ci_low <= gate.improvement
+    assert rows and {r.method for r in rows} == {"model" if gate.passes else "rule"} and all(0 <= r.predicted <= 3 and 0 < r.probability <= 1 for r in rows)
+
+
+def test_tiers_are_all_or_none(spark):
+    rows, stats = QUERIES["kmeans_tiers"](spark, SF).collect(), QUERIES["publisher_stats"](spark, SF).collect()
+    assert {r.company for r in rows} == {r.company for r in stats}
+    assert {r.tier for r in rows} in ({None}, {1, 2, 3})
