@@ -35,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ENDS, PIECE_WORDS = ".!?;:g", 16
+ENDS, PIECE_WORDS = ".!?k", 24
 _WORD, _SPACE = r"\S++", r"[^\S\n]*+"
 PIECE = rf"(?:{_WORD}(?<![{ENDS}]){_SPACE}){{0,{PIECE_WORDS - 1}}}+{_WORD}{_SPACE}|(?:{_WORD}{_SPACE}){{1,{PIECE_WORDS - 1}}}+"
 BITS, MOST_BITS = 3, 9  # a table is three parts of 2^BITS cells
