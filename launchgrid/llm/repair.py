@@ -15,7 +15,7 @@ Costs: Keep 0, Rerole 3, Delete 4, Insert 3, and 3 for each truncated row that s
 repeat an earlier role and text must be deleted. Of equally cheap edits the audit that is least in ASCII wins;
 at each place the least letter that still leads to the least cost is taken.
 
-Defined results: rows of one turn go by role, then text; a null turn comes first; a null role or text is
+Defined results: rows of one turn go by role, then text (``turns``); a null turn comes first; a null role or text is
 one space; rows with a null conv_id are one conversation; equal rows are duplicates of the first; a role
 without or with another initial can't be kept; an empty table gives no rows. Other columns aren't read.
 """

@@ -15,7 +15,7 @@ Nodes of one smallest member are a chain that runs to its end, so the trie is a
 there are conversations. Sums over subtrees are doubled up along the chains' parents (rounds: the logarithm of their depth),
 then run backwards along each chain, block by block.
 
-Defined results: rows without a conv_id are left out; rows of one turn go by role, then text; a null turn comes first;
+Defined results: rows without a conv_id are left out; rows of one turn go by role, then text (``turns``); a null turn comes first;
 a null role or text is empty; equal rows are turns each; without rows there is no root. Other columns aren't read.
 """
 

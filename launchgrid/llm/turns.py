@@ -1,7 +1,8 @@
 """Conversation rows in order, in segments of bounded size.
 
 Rows are dealt by ranges of (conv_id, turn, role, text), nulls first, so a conversation of any
-length is spread over tasks, and numbered by ``at``, which grows in that order. A segment is what a
+length is spread over tasks, and numbered by ``at``, which grows in that order. Texts are told apart by their first BEGIN
+characters and then by a hash, as whole texts would be too much for the sample that ranges are made from. A segment is what a
 conversation has of 4,096 consecutive numbers: small conversations have one segment, seldom two.
 """
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from launchgrid.llm.storage import bounded_batches, written
 
 SEGMENT_BITS = 12
-SORTED_BY = ("conv_id", "turn", "role", "text")
+BEGIN = 64
+COLUMNS = ("conv_id", "turn", "role", "text")
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -22,9 +24,10 @@ def in_order(rows: DataFrame) -> DataFrame:
     Equal rows get numbers next to each other; they may lie in different tasks.
     """
     bounded_batches(rows.sparkSession)
-    salted = rows.select(*SORTED_BY, F.substring("text", 1, 64).alias("begin"), F.monotonically_increasing_id().alias("salt"))
-    dealt = salted.repartitionByRange("conv_id", "turn", "role", "begin", "text", "salt").sortWithinPartitions(*SORTED_BY, "salt")
-    return written(dealt.select(*SORTED_BY, F.monotonically_increasing_id().alias("at")), "turns")
+    order = ("conv_id", "turn", "role", "begin", "hash", "salt")
+    salted = rows.select(*COLUMNS, F.substring("text", 1, BEGIN).alias("begin"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("salt"))
+    dealt = salted.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.select(*COLUMNS, F.monotonically_increasing_id().alias("at")), "turns")
 
 
 def segments(rows: DataFrame, **columns: F.Column) -> DataFrame:
