@@ -9,7 +9,8 @@ in time linear in the words: the pairwise part by the sum-of-squares identity.
 
 Fitting: on at most ``MOST_ROWS`` labelled rows, those with the least hash of the id, so
 the sample is the same on every run; the hash sample is joined by broadcast (its size is
-bounded) to the scan of the texts, which never move. The model is about a megabyte.
+bounded) to the scan of the texts, which never move. One task fits to the sample's features,
+so of them nothing reaches the driver but the model, which is about a megabyte.
 
 Defined results: null and empty texts have the statistics of an empty text and no words;
 labels other than 0 and 1, or of an unknown id, are left out; repeated labels of an id count
@@ -18,6 +19,7 @@ once, by the greater, and of repeated rows of an id the one with the least stati
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -158,6 +160,18 @@ def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(cut(b), pa.binary()), pa.array(cut(v), pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())], names=["id", "label", "buckets", "weights", "stats"])
 
 
+def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The machine fitted to all rows of a partition, pickled; nothing of an empty one."""
+    held = [batch for batch in batches if batch.num_rows]
+    if held:
+        found = pa.Table.from_batches(held).sort_by([("id", "ascending")])
+        flat = lambda name, kind: np.frombuffer(b"".join(found[name].to_pylist()), kind)
+        bucket = flat("buckets", "<u2").astype(np.int64)
+        row = np.repeat(np.arange(len(found)), [len(b) // 2 for b in found["buckets"].to_pylist()])
+        machine = fit(row, bucket, flat("weights", "<f4").astype(float), flat("stats", float).reshape(-1, STATS), found["label"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], names=["machine"])
+
+
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
     """Fit to at most ``most_rows`` rows of ``labels`` (id, label 0 or 1)."""
     bounded_batches(docs.sparkSession)
@@ -166,13 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = texts.join(F.broadcast(sample), "id").mapInArrow(_sampled, T.StructType([T.StructField("id", texts.schema["id"].dataType), *(T.StructField(n, T.BinaryType() if n != "label" else T.DoubleType()) for n in ("label", "buckets", "weights", "stats"))]))
     one = seen.groupBy("id").agg(F.min(F.struct("stats", "label", "buckets", "weights")).alias("r"))  # however often an id is repeated
-    found = one.select("id", "r.*").toArrow().sort_by([("id", "ascending")])
-    bucket = [np.frombuffer(b, "<u2") for b in found["buckets"].to_pylist()]
-    value = [np.frombuffer(b, "<f4") for b in found["weights"].to_pylist()]
-    stats = np.array([np.frombuffer(b) for b in found["stats"].to_pylist()]).reshape(-1, STATS)
-    row = np.repeat(np.arange(len(bucket)), [len(b) for b in bucket])
+    found = one.select("id", "r.*").repartition(1).mapInArrow(_fitted, "machine binary").collect()
     none = np.zeros(0)
-    return fit(row, np.concatenate([none.astype("<u2"), *bucket]).astype(np.int64), np.concatenate([none, *value]), stats, found["label"].to_numpy())
+    return pickle.loads(found[0].machine) if found else fit(none, none, none, none.reshape(0, STATS), none)
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

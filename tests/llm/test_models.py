@@ -55,6 +55,18 @@ def test_quality_odd_documents(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the machine alone, the one that all rows in order of their ids give."""
+    rows = [(i, "well kept words, in order. " * (i % 5 + 1) if i % 2 else f"buy {i} now " * (i % 7 + 1), i % 2) for i in (7, 3, 12, 8, 1, 20, 15, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    rows.sort()
+    row, bucket, value, stats = quality.features(pa.array([r[1] for r in rows]))
+    want = quality.fit(row, bucket, value.astype("<f4").astype(float), stats, np.array([float(r[2]) for r in rows]))
+    monkeypatch.delattr(quality, "fit")
+    got = quality.train(docs.drop("quality"), docs.drop("text"))
+    assert got.bias == want.bias and all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("weights", "factors", "centre", "scale"))
+
+
 def brute_top(vectors, k=5):
     ids = np.array(sorted(vectors))
     v = np.floor(256 * np.array([vectors[i] for i in ids], float)).astype(int)
