@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from launchgrid.operators.snapshots import described_changes
 from launchgrid.schemas import WINDOW_KEYS, Windows
+from launchgrid.sources.shared import new_folder
 from launchgrid.streaming.upserts import put
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -149,61 +150,6 @@ def daily_rollup(polls: DataFrame, late: str | None = "1 day") -> DataFrame:
 WINDOW_ROW = "appid long, window_key string, window_end timestamp, review_total long, review_positive long"
 
 
-class _Windows(StatefulProcessor):
-    """Sums a title's reviews by window; a window goes out once, when the watermark has passed its end.
-
-    A title's windows begin with its start, from the table of starts, so one without any review has its windows too.
-    """
-
-    COLUMNS = ("appid", "window_key", "window_end", "review_total", "review_positive")
-
-    def __init__(self, lengths: dict[str, int]):
-        self.lengths = lengths
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sums = handle.getValueState("sums", "start timestamp, n array<long>, positive array<long>, given array<boolean>")
-
-    def _begin(self, start: pd.Timestamp) -> tuple:
-        for days in self.lengths.values():
-            self.handle.registerTimer(_millis(start + pd.Timedelta(days=days)))
-        none = [0] * len(self.lengths)
-        return start.to_pydatetime(), none, list(none), [False] * len(none)
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.sums.update(self._begin(initialState.start.iloc[0]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.sums.get() if self.sums.exists() else None
-        for batch in rows:
-            if state is None:  # a start that was announced after the stream began
-                state = self._begin(batch.start.iloc[0])
-            start, n, positive, given = pd.Timestamp(state[0]), list(state[1]), list(state[2]), state[3]
-            for k, days in enumerate(self.lengths.values()):
-                inside = batch[(batch["at"] >= start) & (batch["at"] < start + pd.Timedelta(days=days))]
-                n[k] += int(inside.weight.sum())
-                positive[k] += int(inside.positive.sum())
-            state = (state[0], n, positive, given)
-        if state is not None:
-            self.sums.update((pd.Timestamp(state[0]).to_pydatetime(), *map(list, state[1:])))
-        yield pd.DataFrame([], columns=list(self.COLUMNS))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        at, n, positive, given = self.sums.get()
-        start, given = pd.Timestamp(at), list(given)
-        for k, (name, days) in enumerate(self.lengths.items()):
-            end = start + pd.Timedelta(days=days)
-            if not given[k] and _millis(end) <= now:
-                out.append((key[0], name, end, n[k], positive[k]))
-                given[k] = True
-        self.sums.update((start.to_pydatetime(), list(n), list(positive), given))
-        yield pd.DataFrame(out, columns=list(self.COLUMNS))
-
-    def close(self) -> None:
-        pass
-
-
 def _millis(at: pd.Timestamp) -> int:
     return int(at.tz_localize("UTC").timestamp() * 1000) if at.tzinfo is None else int(at.timestamp() * 1000)
 
@@ -212,18 +158,26 @@ def launch_windows(reviews: DataFrame, starts: DataFrame, windows: Windows = Win
     """(appid, window_key, window_end, review_total, review_positive): each title's launch windows, each
     given once, when it has fully elapsed; never a window that still runs. A title without reviews has windows of nought.
 
-    ``reviews``: appid, at, weight, positive (weight of the positive ones), a stream; ``starts``: appid,
-    start (timestamp, one a title), a static table that is the stream's first state: a title's timers are set before its first
-    review. A start that is announced later counts from its title's first review on. Reviews outside the longest window
-    are left out before any state; a title keeps three sums. Reviews behind the watermark are late: replaced_windows
-    makes good for them. Needs the RocksDB state store provider (ROCKSDB), and UTC as the session's time zone.
+    ``reviews``: appid, at, weight, positive (weight of the positive ones), a stream; ``starts``: appid, start (timestamp, one
+    a title), a static table. A review opens a session that lasts until its window's end, so a title's reviews of a window are one
+    session, which goes out when the watermark has passed that end. The starts are written once and read as a stream of
+    reviews without weight, so silent titles have sessions too; a run that goes on reads its starts anew, which adds nought, and
+    takes in those announced since. State is a row of sums per title and window that still runs; reviews outside the longest
+    window are left out before. Reviews of a window that was given are late: replaced_windows makes good for them, and
+    for windows that had elapsed when their start was announced. Needs UTC as the session's time zone; with the RocksDB
+    state store provider (ROCKSDB) state needn't fit the memory.
     """
-    lengths = dict(zip(WINDOW_KEYS, (windows.first, windows.second, windows.third), strict=False))
-    starts = starts.filter("appid is not null and start is not null").select("appid", "start")
-    end = F.col("start") + F.make_dt_interval(F.lit(max(lengths.values())))
-    inside = reviews.withWatermark("at", late).join(starts, "appid").filter((F.col("at") >= F.col("start")) & (F.col("at") < end))
-    keyed = inside.select("appid", "at", "start", "weight", "positive").groupBy("appid")
-    return keyed.transformWithStateInPandas(_Windows(lengths), outputStructType=WINDOW_ROW, outputMode="Append", timeMode="EventTime", initialState=starts.groupBy("appid"))
+    spark, folder = reviews.sparkSession, new_folder(reviews.sparkSession, "starts")
+    starts.filter("appid is not null and start is not null").select("appid", "start").write.parquet(folder)
+    starts = spark.read.parquet(folder)
+    begun = spark.readStream.schema(starts.schema).parquet(folder).select("appid", F.col("start").alias("at"), "start", F.lit(0).alias("weight"), F.lit(0).alias("positive"))
+    given = reviews.withWatermark("at", late).join(starts, "appid").select("appid", "at", "start", "weight", "positive")
+    ends = F.array(*(F.col("start") + F.make_dt_interval(F.lit(days)) for days in (windows.first, windows.second, windows.third)))
+    rows = given.unionByName(begun).select("*", F.posexplode(ends).alias("k", "end")).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    left = F.concat((F.unix_micros("end") - F.unix_micros("at")).cast("string"), F.lit(" microseconds"))
+    sums = rows.groupBy(F.session_window("at", left).alias("session"), "appid", "k").agg(F.sum("weight").cast("bigint").alias("review_total"), F.sum("positive").cast("bigint").alias("review_positive"))
+    name = F.element_at(F.array(*(F.lit(k) for k in WINDOW_KEYS)), F.col("k") + 1)
+    return sums.select("appid", name.alias("window_key"), F.col("session.end").alias("window_end"), "review_total", "review_positive")
 
 
 def upsert_latest(polls: DataFrame, path: str, checkpoint: str, key: str = "appid", at: str = "captured_at") -> StreamingQuery:

@@ -102,6 +102,19 @@ def test_launch_windows_go_out_once_when_elapsed_and_are_replaced_by_a_rerun(spa
     assert after == seen[3] | {(1, "launch_2w"): (25, 9)}
 
 
+def test_windows_take_late_reviews_while_they_run_and_silent_titles_announced_later(spark, tmp_path, rocksdb):
+    schema = "appid long, at timestamp, weight long, positive long"
+    path, table = str(tmp_path / "in"), str(tmp_path / "table")
+    kind = spark.createDataFrame([], schema).schema
+    for days, known in (((2, 9), [(1, T(2026, 1, 1))]), ((3, 20), [(1, T(2026, 1, 1)), (2, T(2026, 1, 10))]), ((31,), [(1, T(2026, 1, 1)), (2, T(2026, 1, 10))])):
+        spark.createDataFrame([(1, T(2026, 1, 1) + datetime.timedelta(days=d), 10, 4) for d in days], schema).coalesce(1).write.mode("append").parquet(path)
+        windows = polls.launch_windows(polls.read_polls(spark, path, kind), spark.createDataFrame(known, "appid long, start timestamp"))
+        assert "InPandas" not in windows._jdf.queryExecution().toString()  # no title calls Python
+        polls.keep_windows(windows, table, str(tmp_path / "state")).awaitTermination()
+    got = {(r.appid, r.window_key): (r.review_total, r.review_positive) for r in upserts.current(spark, table, windows.schema).collect()}
+    assert got == {(1, "launch_2w"): (30, 12), (1, "launch_1m"): (40, 16), (2, "launch_2w"): (0, 0)}  # day 3 came behind the watermark
+
+
 POLL = "appid long, captured_at timestamp, players long"
 
 
