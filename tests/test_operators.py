@@ -201,6 +201,15 @@ def test_no_fold_of_a_cross_validation_sits_in_one_task(spark):
     assert found.count() == 80 and "InPandas" not in found._jdf.queryExecution().toString()
 
 
+def test_predictions_of_all_folds_are_one_scan_and_large_fits_run_alone(spark):
+    m = matrix(spark, 0.5).withColumn("appid", F.concat(F.lit("t"), F.col("appid").cast("string")))
+    assigned = forecast.folds(m.select("appid", "outcome"), repeats=1)
+    found = training.cross_validated(m, assigned, forecast.fold_constants(assigned), trees=1)
+    assert "Union" not in found._jdf.queryExecution().toString()
+    assert {(r.appid, r.fold) for r in found.collect()} == {(r.appid, r.fold) for r in assigned.collect()}
+    assert [training.side_by_side(m.repartition(k)) for k in (1, 4, 8, 50)] == [4, 2, 1, 1]  # of four cores
+
+
 def test_cross_validation_takes_titles_of_all_years(spark, monkeypatch):
     from compare import SF
 
