@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from launchgrid.operators.snapshots import described_changes
 from launchgrid.schemas import WINDOW_KEYS, Windows
@@ -31,64 +32,30 @@ def distinct_polls(polls: DataFrame, late: str = "1 day") -> DataFrame:
     return polls.withWatermark("captured_at", late).dropDuplicatesWithinWatermark(["appid", "captured_at"])
 
 
-class _Changes(StatefulProcessor):
+def _changes(key: tuple, polls: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Holds a title's polls back until the watermark has passed them, then compares them in order of capture.
 
-    State: the waiting polls, one a capture time, and the last announced text that was let through. One timer is set,
-    at the earliest waiting poll.
+    State: the waiting polls, one a capture time (microseconds), and the last poll that was let through, with its text. It is read and
+    written once a batch, and wakes up for the earliest waiting poll.
     """
-
-    COLUMNS = ("appid", "observed_at", "previous_raw", "new_raw")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at timestamp", "raw string")
-        self.last = handle.getValueState("last", "at timestamp, raw string")
-        self.timer = handle.getValueState("timer", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        first = None
-        for batch in rows:
-            for r in batch.itertuples():
-                if at is not None and r.captured_at <= at:
-                    continue  # the same poll again
-                first = r.captured_at if first is None else min(first, r.captured_at)
-                self.waiting.updateValue((r.captured_at.to_pydatetime(),), (None if r.raw is None or pd.isna(r.raw) else r.raw,))
-        if first is not None:
-            self._wake(first)
-        yield pd.DataFrame([], columns=list(self.COLUMNS))
-
-    def _wake(self, at: pd.Timestamp) -> None:
-        """The timer stands at ``at``, if it doesn't earlier."""
-        when = _millis(at) + 1
-        if self.timer.exists():
-            if self.timer.get()[0] <= when:
-                return
-            self.handle.deleteTimer(self.timer.get()[0])
-        self.handle.registerTimer(when)
-        self.timer.update((when,))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        polls = sorted((pd.Timestamp(at), raw) for (at,), (raw,) in self.waiting.iterator())
-        due = [p for p in polls if _millis(p[0]) < mark]
-        seen = self.last.exists()
-        before, out = self.last.get()[1] if seen else None, []
-        for at, raw in due:
-            if seen and before is not None and raw != before:
-                out.append((key[0], at, before, raw))
-            before, seen = raw, True
-            self.waiting.removeKey((at.to_pydatetime(),))
-        if due:
-            self.last.update((due[-1][0].to_pydatetime(), before))
-        self.timer.clear()
-        if len(due) < len(polls):
-            self._wake(polls[len(due)][0])
-        yield pd.DataFrame(out, columns=list(self.COLUMNS))
-
-    def close(self) -> None:
-        pass
+    at, raw, last, before = state.get if state.exists else ([], [], None, None)
+    waiting = dict(zip(at, raw, strict=True))
+    for batch in polls:
+        for t, text in zip(batch["captured_at"].astype("datetime64[us]").astype("int64"), batch["raw"], strict=True):
+            if last is None or t > last:  # else the same poll again
+                waiting[int(t)] = None if pd.isna(text) else text
+    mark, out = state.getCurrentWatermarkMs(), []
+    for t in sorted(t for t in waiting if t // 1000 < mark):
+        text = waiting.pop(t)
+        if before is not None and text != before:
+            out.append((key[0], t, before, text))
+        last, before = t, text
+    state.update((list(waiting), list(waiting.values()), last, before))
+    if waiting:
+        state.setTimeoutTimestamp(max(1, min(waiting) // 1000))
+    if out:
+        events = pd.DataFrame(out, columns=["appid", "observed_at", "previous_raw", "new_raw"])
+        yield events.assign(observed_at=pd.to_datetime(events.observed_at, unit="us"))
 
 
 def date_changes(polls: DataFrame, late: str = "1 day") -> DataFrame:
@@ -96,10 +63,12 @@ def date_changes(polls: DataFrame, late: str = "1 day") -> DataFrame:
 
     Polls may land in any order within ``late``: a title's are held until the watermark has passed them, and then
     compared in order of capture, so events are those of the batch job up to the watermark. A later poll than ``late``
-    still counts until a newer one of its title is let through; then it is dropped. Needs the RocksDB state store provider (ROCKSDB), and UTC as the session's time zone.
+    still counts until a newer one of its title is let through; then it is dropped. Needs UTC as the session's time zone; with the
+    RocksDB state store provider (ROCKSDB) state needn't fit the memory.
     """
     slim = polls.select("appid", F.col("captured_at").cast("timestamp").alias("captured_at"), "raw").withWatermark("captured_at", late)
-    changes = slim.groupBy("appid").transformWithStateInPandas(_Changes(), outputStructType="appid long, observed_at timestamp, previous_raw string, new_raw string", outputMode="Append", timeMode="EventTime")
+    kinds = "appid long, observed_at timestamp, previous_raw string, new_raw string", "at array<long>, raw array<string>, last long, before string"
+    changes = slim.groupBy("appid").applyInPandasWithState(_changes, *kinds, outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
     return described_changes(changes)
 
 
@@ -150,10 +119,6 @@ def daily_rollup(polls: DataFrame, late: str | None = "1 day") -> DataFrame:
 WINDOW_ROW = "appid long, window_key string, window_end timestamp, review_total long, review_positive long"
 
 
-def _millis(at: pd.Timestamp) -> int:
-    return int(at.tz_localize("UTC").timestamp() * 1000) if at.tzinfo is None else int(at.timestamp() * 1000)
-
-
 def launch_windows(reviews: DataFrame, starts: DataFrame, windows: Windows = Windows(), late: str = "1 day") -> DataFrame:
     """(appid, window_key, window_end, review_total, review_positive): each title's launch windows, each
     given once, when it has fully elapsed; never a window that still runs. A title without reviews has windows of nought.

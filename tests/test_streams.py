@@ -63,6 +63,26 @@ def test_polls_landed_twice_count_once(spark, tmp_path):
     assert got == {"2026-01-01": (3, 90, 150), "2026-01-02": (1, 7, 7), "2026-01-09": (1, 1, 1)}
 
 
+def test_a_batch_reads_and_writes_a_titles_state_once():
+    import pandas as pd
+
+    class Held:
+        exists, get, mark, writes, wakes = False, None, 0, 0, []
+        getCurrentWatermarkMs = lambda self: self.mark
+        setTimeoutTimestamp = lambda self, at: self.wakes.append(at)
+
+        def update(self, now):
+            self.exists, self.get, self.writes = True, now, self.writes + 1
+
+    state, texts = Held(), ["a", "a", None, "b", "c"]
+    rows = pd.DataFrame({"captured_at": pd.to_datetime([1000 + k for k in range(500)], unit="ms"), "raw": [texts[k % 5] for k in range(500)]})
+    assert list(polls._changes((7,), iter([rows[250:], rows[:250]]), state)) == [] and state.writes == 1 and state.wakes == [1000]
+    state.mark = 1007  # seven polls are behind it, one stands at it
+    out = pd.concat(polls._changes((7,), iter([]), state))
+    assert list(out.itertuples(index=False, name=None)) == [(7, pd.Timestamp(1002, unit="ms"), "a", None), (7, pd.Timestamp(1004, unit="ms"), "b", "c"), (7, pd.Timestamp(1005, unit="ms"), "c", "a")]
+    assert state.writes == 2 and state.wakes == [1000, 1007]
+
+
 def test_the_first_forecast_stays(spark, tmp_path, rocksdb):
     rows = [(1, T(2026, 1, 1), True, None), (1, T(2026, 1, 2), True, "success"), (1, T(2026, 1, 3), False, "flop"), (1, T(2026, 1, 4), True, None)]
     schema = "appid long, captured_at timestamp, coming_soon boolean, predicted string"
